@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from crateflow.operators import catalog as C
 from crateflow.operators import derive as D
 from crateflow.operators import similarity as S
+from crateflow.operators.keys import pin_keys
 
 
 def artist_related(m, artist_ids: DataFrame) -> DataFrame:
@@ -19,10 +20,14 @@ def artist_related(m, artist_ids: DataFrame) -> DataFrame:
     of an OR across the join; co-appearance pairs are expanded from the hubs
     of the given artists only.
     """
-    ids = artist_ids.select("id_artist").distinct()
+    ids = pin_keys(artist_ids, "id_artist")
     rel = D.explicit_relations(m)
-    hit = (rel.join(ids.withColumnRenamed("id_artist", "id_artist_from"), "id_artist_from", "left_semi")
-           .unionByName(rel.join(ids.withColumnRenamed("id_artist", "id_artist_to"), "id_artist_to", "left_semi")))
+    # one pass over the relations: flag each end against the (small) id set
+    f = ids.select(F.col("id_artist").alias("id_artist_from"), F.lit(1).alias("__f"))
+    t = ids.select(F.col("id_artist").alias("id_artist_to"), F.lit(1).alias("__t"))
+    hit = (rel.join(f, "id_artist_from", "left").join(t, "id_artist_to", "left")
+           .filter(F.col("__f").isNotNull() | F.col("__t").isNotNull())
+           .select("id_artist_from", "id_artist_to", "relation_type"))
     co = D.co_appearance_pairs(D.co_appearance_hubs(m), ids)
     rel = D.known_both_ends(m, hit.unionByName(co)).distinct()
     to = m.t("artist").select(F.col("id_artist").alias("id_artist_to"), "name_artist")
@@ -38,7 +43,7 @@ RELATED_FIELDS = ["id_artist_to", "name_artist", "relation_type", "url_image", "
 def artist_documents(m, listing: DataFrame) -> DataFrame:
     """Q12: attach formats / genres / styles / related artists to a listing
     of artists (rows of Q1..Q7), plus ``qty_artists_related`` (0 if none)."""
-    ids = listing.select("id_artist").distinct()
+    ids = pin_keys(listing, "id_artist")
     out = listing
     for name, fn, attr in (("formats_collection", C.artist_formats, "name_format"),
                            ("genres_collection", C.artist_genres, "name_genre"),

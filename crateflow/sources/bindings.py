@@ -14,7 +14,9 @@ cheaper subset.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -147,30 +149,63 @@ def sql_text(name: str) -> str:
     return _PLACEHOLDER.sub(lambda m: m.group(1), BINDINGS[name]).strip()
 
 
+# (application id, dataset dir, binding) -> parquet path of the stored table
+_STORED: dict[tuple[str, str, str], str] = {}
+_LOCK = threading.RLock()
+
+
 class Model:
     """Per-dataset handle: driver tables and logical tables as DataFrames.
 
-    ``Model(spark, sf_dir).t('collection_items')`` is lazy; Catalyst sees the
-    whole plan, so filters and column pruning reach the parquet scans.
+    ``Model(spark, sf_dir).t('collection_items')`` returns the logical table.
+    With ``materialize=True`` (default) each binding is computed once per
+    application and stored as parquet in the shared checkpoint folder — the
+    role the flattened tables of the load step play in a deployment — so
+    queries scan stored tables (filters and column pruning reach those
+    scans) instead of re-deriving the binding in every branch of a plan.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.materialize = materialize
         self._cache: dict[str, DataFrame] = {}
 
+    def derived(self, name: str) -> DataFrame:
+        """The binding as a lazy plan over the driver tables."""
+        args = {d: self.t(d) for d in deps(name)}
+        return self.spark.sql(BINDINGS[name], **args)
+
+    def _stored(self, name: str) -> DataFrame:
+        from crateflow.session import shared_dir
+
+        app = self.spark.sparkContext.applicationId
+        key = (app, self.sf_dir, name)
+        with _LOCK:
+            path = _STORED.get(key)
+            if path is None:
+                tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:10]
+                path = f"{shared_dir(self.spark)}/crateflow-tables/{app}/{tag}/{name}"
+                self.derived(name).write.mode("overwrite").parquet(path)
+                _STORED[key] = path
+        return self.spark.read.parquet(path)
+
     def t(self, name: str) -> DataFrame:
         if name not in self._cache:
             if name in DRIVER_TABLES:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif name in BINDINGS:
-                args = {d: self.t(d) for d in deps(name)}
-                df = self.spark.sql(BINDINGS[name], **args)
+                df = self._stored(name) if self.materialize else self.derived(name)
             else:
                 raise KeyError(f"unknown table {name!r}")
             self._cache[name] = df
         return self._cache[name]
 
+    def store_all(self) -> None:
+        """Compute and store every binding (the load step)."""
+        for n in BINDINGS:
+            self.t(n)
+
     __getitem__ = t
 
 
