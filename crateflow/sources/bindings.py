@@ -118,6 +118,15 @@ FROM {lineitem} GROUP BY l_orderkey""",
     "release_prices": """
 SELECT l_orderkey AS id_release, l_extendedprice AS amt_price
 FROM {lineitem}""",
+    "release_track_artists": """
+SELECT DISTINCT l_orderkey AS id_release, s_name AS name_artist,
+       CASE p_size % 3 WHEN 0 THEN 'Featuring' WHEN 1 THEN 'Remix' ELSE 'Vocals' END AS role,
+       l_suppkey AS id_artist, concat('https://api.example/artists/', cast(l_suppkey AS string)) AS api_artist,
+       cast(l_linenumber AS string) AS position
+FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey
+WHERE l_linenumber % 2 = 1""",
+    "master_main": """
+SELECT id_master, min(id_release) AS id_main_release FROM {release} GROUP BY id_master""",
 }
 
 _PLACEHOLDER = re.compile(r"\{([a-z_]+)\}")
@@ -177,6 +186,10 @@ class Model:
         return self.spark.sql(BINDINGS[name], **args)
 
     def _stored(self, name: str) -> DataFrame:
+        return self.stored(name, lambda: self.derived(name))
+
+    def stored(self, name: str, build) -> DataFrame:
+        """``build()`` written once per application to the shared folder, then read."""
         from crateflow.session import shared_dir
 
         app = self.spark.sparkContext.applicationId
@@ -186,7 +199,7 @@ class Model:
             if path is None:
                 tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:10]
                 path = f"{shared_dir(self.spark)}/crateflow-tables/{app}/{tag}/{name}"
-                self.derived(name).write.mode("overwrite").parquet(path)
+                build().write.mode("overwrite").parquet(path)
                 _STORED[key] = path
         return self.spark.read.parquet(path)
 
