@@ -57,7 +57,7 @@ def with_bindings(sql: str) -> str:
 
 def _load_all() -> None:
     # importing the plan modules fills REGISTRY
-    from crateflow.plans import catalog_plans, derive_plans, load_plans  # noqa: F401
+    from crateflow.plans import catalog_plans, derive_plans, graph_plans, load_plans  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
