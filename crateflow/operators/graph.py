@@ -35,6 +35,11 @@ class Graph:
     def spark(self):
         return self.vertices.sparkSession
 
+    def materialized(self) -> "Graph":
+        """Checkpoint the three tables once; iterative jobs then start from
+        stored data instead of re-running the derivation every round."""
+        return Graph(_ckpt(self.vertices), _ckpt(self.edges), _ckpt(self.hubs))
+
 
 def _ckpt(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
@@ -102,7 +107,7 @@ def network_graph(m) -> Graph:
     hubs = D.co_appearance_hubs(m, known_only=False).select(F.col("id_release").alias("hub"),
                                                             F.col("id_artist").alias("id"))
     e, h = _restrict(v, undirected(artist_edge(m)), hubs)
-    return Graph(v, e, h)
+    return Graph(v, e, h).materialized()
 
 
 def relation_graph(m) -> Graph:
@@ -115,7 +120,7 @@ def relation_graph(m) -> Graph:
     hubs = D.co_appearance_hubs(m, known_only=True).select(F.col("id_release").alias("hub"),
                                                            F.col("id_artist").alias("id"))
     e, h = _restrict(v, undirected(D.artist_relations(m)), hubs)
-    return Graph(v, e, h)
+    return Graph(v, e, h).materialized()
 
 
 # ---- traversal ------------------------------------------------------------------------
@@ -139,17 +144,23 @@ def neighbourhood(g: Graph, seeds: DataFrame, k: int = 2) -> DataFrame:
     used = g.spark.createDataFrame([], "hub bigint")
     for d in range(1, k + 1):
         nb, hit = _step(g, frontier, used, [])
+        hit = _ckpt(hit)
         new = _ckpt(nb.join(reached.select("id"), "id", "left_anti"))
-        used = _ckpt(used.unionByName(hit))
-        reached = _ckpt(reached.unionByName(new.withColumn("dist", F.lit(d))))
+        used = used.unionByName(hit)
+        reached = reached.unionByName(new.withColumn("dist", F.lit(d)))
         frontier = new
         if new.isEmpty():
             break
     return reached
 
 
-def seed_distances(g: Graph, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(seed, id, dist) — BFS from every seed separately (seed kept in the key)."""
+def seed_distances(g: Graph, seeds: DataFrame, max_hops: int | None = None,
+                   stop_at: DataFrame | None = None) -> DataFrame:
+    """(seed, id, dist) — BFS from every seed separately (seed kept in the key).
+
+    ``stop_at``: vertices that are reached but never expanded (other seeds,
+    for the seed-free segments of ``shortest_path_connectors``).
+    """
     key = ["seed"]
     states = seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("dist", F.lit(0))
     frontier = states.select("seed", "id")
@@ -158,50 +169,62 @@ def seed_distances(g: Graph, seeds: DataFrame, max_hops: int | None = None) -> D
     while max_hops is None or d < max_hops:
         d += 1
         nb, hit = _step(g, frontier, used, key)
+        hit = _ckpt(hit)
         new = _ckpt(nb.join(states.select("seed", "id"), ["seed", "id"], "left_anti"))
         if new.isEmpty():
             break
-        used = _ckpt(used.unionByName(hit))
-        states = _ckpt(states.unionByName(new.withColumn("dist", F.lit(d))))
-        frontier = new
-    return states
+        used = used.unionByName(hit)
+        states = states.unionByName(new.withColumn("dist", F.lit(d)))
+        frontier = new if stop_at is None else new.join(stop_at.select("id"), "id", "left_anti")
+    return _ckpt(states)
 
 
 def shortest_path_connectors(g: Graph, seeds: DataFrame, max_hops: int | None = None,
                              block_size: int = 4096) -> DataFrame:
-    """Every vertex on some shortest path between two seeds.
-
-    Per seed block: BFS distances, then a backward walk from each reached
-    seed over neighbours one hop closer to the source — the union of all
-    shortest paths (a superset of the single path a sequential library
-    returns, independent of tie order). Seeds are processed in blocks so
-    the (seed, vertex) state stays bounded.
+    """Every vertex on some shortest path between two seeds (seeds included).
+
+    All shortest paths are taken (a superset of the single, tie-dependent
+    path a sequential library returns). Exact and cheaper than a BFS per
+    seed over the whole graph:
+
+    * a non-seed vertex on a shortest seed-to-seed path lies on a *seed-free*
+      shortest segment between consecutive seeds of that path, so each seed's
+      search never expands another seed;
+    * a segment of length <= 2 is always shortest (two distinct seeds are at
+      least 1 apart); a longer one is checked against an unrestricted BFS
+      from its source, run only for the sources that have such segments;
+    * the vertices of the valid segments come from a backward walk over
+      neighbours one hop closer to the source.
+
+    Seeds are processed in blocks so the (seed, vertex) state stays bounded.
     """
-    seeds = seeds.select("id").distinct()
+    seeds = _ckpt(seeds.select("id").distinct())
     n_seeds = seeds.count()
     n_blocks = max(1, -(-n_seeds // block_size))
-    out = _empty_ids(g.spark)
+    out = seeds
+    no_hubs = g.spark.createDataFrame([], "seed bigint, hub bigint")
     for b in range(n_blocks):
         block = seeds.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b) if n_blocks > 1 else seeds
-        states = seed_distances(g, block, max_hops)
-        targets = states.join(seeds, "id", "left_semi").filter(F.col("dist") > 0)
-        on_path = targets.select("seed", "id", "dist")
-        cur = on_path
-        while True:
-            # keep neighbours exactly one hop closer to the seed than the vertex they came from
+        states = seed_distances(g, block, max_hops, stop_at=seeds)
+        targets = states.join(seeds, "id", "left_semi").filter(F.col("dist") > 1)
+        long_src = targets.filter(F.col("dist") >= 3).select(F.col("seed").alias("id")).distinct()
+        if not long_src.isEmpty():
+            true_d = seed_distances(g, long_src, max_hops).join(seeds, "id", "left_semi")
+            bad = (targets.join(true_d.withColumnRenamed("dist", "__d"), ["seed", "id"])
+                   .filter(F.col("__d") < F.col("dist")).select("seed", "id"))
+            targets = targets.join(bad, ["seed", "id"], "left_anti")
+        cur = _ckpt(targets.select("seed", "id", "dist"))
+        on_path = cur
+        while not cur.isEmpty():
             back = (cur.select("seed", F.col("id").alias("__w"), "dist")
                     .join(_pairs_back(g, cur.select("seed", "id")), ["seed", "__w"])
                     .join(states.withColumnRenamed("dist", "__du"), ["seed", "id"])
                     .filter(F.col("__du") == F.col("dist") - 1)
                     .select("seed", "id", F.col("__du").alias("dist")).distinct())
-            new = _ckpt(back.join(on_path.select("seed", "id"), ["seed", "id"], "left_anti"))
-            if new.isEmpty():
-                break
-            on_path = _ckpt(on_path.unionByName(new))
-            cur = new
+            cur = _ckpt(back.join(on_path.select("seed", "id"), ["seed", "id"], "left_anti"))
+            on_path = on_path.unionByName(cur)
         out = out.unionByName(on_path.select("id"))
-    # a seed's path to itself is the seed
-    return out.unionByName(seeds).distinct()
+    return out.distinct()
 
 
 def _pairs_back(g: Graph, cur: DataFrame) -> DataFrame:
@@ -225,7 +248,7 @@ def relevant_vertices(g: Graph, k: int = 2, max_hops: int | None = None) -> Data
 
 def artist_ignore(g: Graph, k: int = 2, max_hops: int | None = None) -> DataFrame:
     """Vertices neither near a collected vertex nor on a path between two."""
-    keep = relevant_vertices(g, k, max_hops)
+    keep = _ckpt(relevant_vertices(g, k, max_hops))
     return g.vertices.select(F.col("id").alias("id_artist")).join(
         keep.withColumnRenamed("id", "id_artist"), "id_artist", "left_anti")
 

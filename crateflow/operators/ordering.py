@@ -22,19 +22,19 @@ def with_position(df: DataFrame, order: list[Column], name: str = "pos") -> Data
     from crateflow.session import shared_dir
 
     shared_dir(spark)  # make sure a reliable checkpoint folder is set
-    mid = "__mid"
+    mid = "__wp_mid"
     sorted_df = df.orderBy(*order).withColumn(mid, F.monotonically_increasing_id())
     sorted_df = sorted_df.checkpoint(eager=True)
     part = F.shiftright(F.col(mid), _LOW_BITS)
-    counts = sorted_df.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = sorted_df.groupBy(part.alias("__wp_part")).agg(F.count(F.lit(1)).alias("__wp_n"))
     # One row per partition: the running sum is a window over a table whose
     # size is bounded by the partition count, not by the data.
     offsets = counts.select(
-        "__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__off"))
+        "__wp_part", (F.sum("__wp_n").over(Window.orderBy("__wp_part")) - F.col("__wp_n")).alias("__wp_off"))
     local = F.col(mid) - F.shiftleft(part, _LOW_BITS)
-    out = (sorted_df.join(F.broadcast(offsets), part == F.col("__p"))
-           .withColumn(name, (F.col("__off") + local + 1).cast("bigint"))
-           .drop(mid, "__p", "__off"))
+    out = (sorted_df.join(F.broadcast(offsets), part == F.col("__wp_part"))
+           .withColumn(name, (F.col("__wp_off") + local + 1).cast("bigint"))
+           .drop(mid, "__wp_part", "__wp_off"))
     return out.orderBy(name)
 
 
