@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crateflow.operators import derive as D
-from crateflow.session import shared_dir
+from crateflow.session import cut_lineage
 
 
 @dataclass
@@ -42,8 +42,7 @@ class Graph:
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return cut_lineage(df)
 
 
 def _empty_ids(spark) -> DataFrame:

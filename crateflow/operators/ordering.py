@@ -3,8 +3,8 @@
 ``with_position`` numbers a globally sorted result without a single-task
 window: the sort is range-partitioned (distributed), each row gets
 ``monotonically_increasing_id`` (partition index in the upper bits), the
-sorted frame is checkpointed to the shared folder so both passes see the
-same partitioning, and one small table of per-partition counts (one row per
+sorted frame is written to the shared folder so both passes see the same
+numbering, and one small table of per-partition counts (one row per
 partition — a bounded broadcast) turns local indexes into global positions.
 """
 
@@ -18,13 +18,10 @@ _LOW_BITS = 33  # monotonically_increasing_id: partition id << 33 | row index
 
 def with_position(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
     """Sort by ``order`` and add a 1-based consecutive ``name`` column."""
-    spark = df.sparkSession
-    from crateflow.session import shared_dir
+    from crateflow.session import cut_lineage
 
-    shared_dir(spark)  # make sure a reliable checkpoint folder is set
     mid = "__wp_mid"
-    sorted_df = df.orderBy(*order).withColumn(mid, F.monotonically_increasing_id())
-    sorted_df = sorted_df.checkpoint(eager=True)
+    sorted_df = cut_lineage(df.orderBy(*order).withColumn(mid, F.monotonically_increasing_id()))
     part = F.shiftright(F.col(mid), _LOW_BITS)
     counts = sorted_df.groupBy(part.alias("__wp_part")).agg(F.count(F.lit(1)).alias("__wp_n"))
     # One row per partition: the running sum is a window over a table whose

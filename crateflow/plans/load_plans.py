@@ -276,3 +276,20 @@ FROM release_tracks GROUP BY id_release""")
 def t15(m):
     nested = nest_by_key(m.t("release_tracks"), "id_release", "tracks")
     return C.nested_to_text(nested, "tracks", ["position", "title", "duration"])
+
+
+@register("s1_stream_ingest", _REL)
+def s1(m):
+    """Land the release payloads as files (two drops), stream them in twice
+    (the replay must add nothing) and read the release table back."""
+    from crateflow.streaming.ingest import stream_ingest
+
+    base = scratch_path(m.spark, "stream")
+    payloads = _payload(m, "release", PL.release_payloads)
+    landing, target, ckpt = f"{base}/landing", f"{base}/target", f"{base}/_checkpoint"
+    payloads.filter(F.pmod("id", F.lit(2)) == 0).write.parquet(f"{landing}/drop=1")
+    stream_ingest(m.spark, landing, target, ckpt, max_files_per_trigger=4)
+    payloads.filter(F.pmod("id", F.lit(2)) == 1).write.parquet(f"{landing}/drop=2")
+    payloads.limit(100).write.parquet(f"{landing}/drop=3")  # a replayed slice: must add nothing
+    stream_ingest(m.spark, landing, target, ckpt, max_files_per_trigger=4)
+    return m.spark.read.parquet(f"{target}/release").drop("dt_loaded")

@@ -56,3 +56,17 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location inside the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df):
+    """Write ``df`` as a parquet table in the shared folder and read it back.
+
+    Survives executor loss (the data is on shared storage) and, unlike an
+    RDD checkpoint, restarts size statistics from the written files: in a
+    loop, the estimate of a checkpointed join would otherwise keep the
+    product of all earlier estimates and planning time would explode.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "ckpt")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
