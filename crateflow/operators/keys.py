@@ -11,14 +11,13 @@ def pin_keys(df: DataFrame, col: str, max_inline: int = 10_000) -> DataFrame:
     A listing (top-k, a page) feeds several joins; left lazy, its whole plan
     would run once per branch. At most ``max_inline`` distinct keys are
     brought back as a local relation (size checked by the ``limit``), which
-    Catalyst then broadcasts; a larger set is checkpointed to the shared
+    Catalyst then broadcasts; a larger set is written to the shared
     folder instead, so nothing unbounded passes through the driver.
     """
     keys = df.select(col).distinct()
     rows = keys.limit(max_inline + 1).collect()
     if len(rows) <= max_inline:
         return df.sparkSession.createDataFrame(rows, keys.schema)
-    from crateflow.session import shared_dir
+    from crateflow.session import cut_lineage
 
-    shared_dir(df.sparkSession)
-    return keys.checkpoint(eager=True)
+    return cut_lineage(keys)

@@ -199,7 +199,10 @@ class Model:
             if path is None:
                 tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:10]
                 path = f"{shared_dir(self.spark)}/crateflow-tables/{app}/{tag}/{name}"
-                build().write.mode("overwrite").parquet(path)
+                # balanced files: AQE may coalesce a small final stage to one
+                # task, and a single file would then be read by one task too
+                n = max(1, self.spark.sparkContext.defaultParallelism)
+                build().repartition(n).write.mode("overwrite").parquet(path)
                 _STORED[key] = path
         return self.spark.read.parquet(path)
 
