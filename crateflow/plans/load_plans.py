@@ -293,3 +293,30 @@ def s1(m):
     payloads.limit(100).write.parquet(f"{landing}/drop=3")  # a replayed slice: must add nothing
     stream_ingest(m.spark, landing, target, ckpt, max_files_per_trigger=4)
     return m.spark.read.parquet(f"{target}/release").drop("dt_loaded")
+
+
+@register("e22d_flatten_master_styles", """SELECT DISTINCT r.id_master, s.name_style FROM release r
+JOIN release_styles s ON s.id_release = r.id_release""")
+def e22d(m):
+    return FL.flatten_master_styles(master_parsed(m))
+
+
+@register("e22e_flatten_master_videos", """SELECT mm.id_master, v.url_video, v.title, v.duration FROM master_main mm
+JOIN release_videos v ON v.id_release = mm.id_main_release""")
+def e22e(m):
+    return FL.flatten_master_videos(master_parsed(m))
+
+
+@register("e2_refresh_collection_items", f"""
+SELECT id_release, strftime(date_added, '%Y-%m-%dT%H:%M:%S') AS date_added, id_instance, title, id_master,
+       concat('{API}/masters/', cast(id_master AS varchar)) AS api_master,
+       concat('{API}/releases/', cast(id_release AS varchar)) AS api_release,
+       url_thumbnail, url_cover, year_released, rating
+FROM collection_items""")
+def e2(m):
+    """Full refresh: a first load, then a second complete load replaces it."""
+    path = f"{scratch_path(m.spark, 'collection')}/collection_items"
+    items = FL.flatten_collection_item(item_parsed(m))
+    L.refresh_table(items.limit(10), path)
+    L.refresh_table(items, path)
+    return m.spark.read.parquet(path)
