@@ -118,7 +118,11 @@ def artist_attribute_counts(m, table: str, attr: str, artist_ids: DataFrame | No
     if artist_ids is not None:
         rows = rows.join(artist_ids.select("id_artist").distinct(), "id_artist", "left_semi")
     per_rel_item = rows.groupBy("id_artist", "id_release").agg(F.count(F.lit(1)).alias("__n_items"))
-    per_rel_attr = m.t(table).groupBy("id_release", attr).agg(F.count(F.lit(1)).alias("__n_attr"))
+    attr_rows = m.t(table).select("id_release", attr)
+    if artist_ids is not None:
+        # a bounded listing: only its releases' attribute rows are aggregated
+        attr_rows = attr_rows.join(per_rel_item.select("id_release").distinct(), "id_release", "left_semi")
+    per_rel_attr = attr_rows.groupBy("id_release", attr).agg(F.count(F.lit(1)).alias("__n_attr"))
     return (per_rel_item.join(per_rel_attr, "id_release")
             .groupBy("id_artist", attr)
             .agg(F.sum(F.col("__n_items") * F.col("__n_attr")).alias("qty_collection_items")))

@@ -122,22 +122,25 @@ def rel_alias(m) -> DataFrame:
                     F.lit("artist_alias").alias("relation_type"))
 
 
-def rel_release_role(m, roles: DataFrame | None = None) -> DataFrame:
+def rel_release_role(m, roles: DataFrame | None = None, artist_ids: DataFrame | None = None) -> DataFrame:
     """D5e: artist credited on its own release with an edge role.
 
     As in the source, both ends are the same artist (self-loops); the graph
-    drops loops later.
+    drops loops later. ``artist_ids`` restricts both inputs first.
     """
     roles = roles if roles is not None else role_classification(m)
     edge_roles = roles.filter(F.col("as_edge") == 1).select("role")
     credits = m.t("release_credits").select("id_release", "id_artist", "role").join(edge_roles, "role", "left_semi")
     ra = m.t("release_artists").select("id_release", "id_artist")
+    if artist_ids is not None:
+        ra = ra.join(artist_ids.select("id_artist"), "id_artist", "left_semi")
+        credits = credits.join(artist_ids.select("id_artist"), "id_artist", "left_semi")
     j = ra.join(credits, ["id_release", "id_artist"])
     return j.select(F.col("id_artist").alias("id_artist_from"), F.col("id_artist").alias("id_artist_to"),
                     F.lit("release_role").alias("relation_type"))
 
 
-def co_appearance_hubs(m, known_only: bool = True) -> DataFrame:
+def co_appearance_hubs(m, known_only: bool = True, artist_ids: DataFrame | None = None) -> DataFrame:
     """D5d in hub form: (id_release, id_artist) for releases with at least two
     distinct artists.
 
@@ -150,6 +153,10 @@ def co_appearance_hubs(m, known_only: bool = True) -> DataFrame:
     ra = m.t("release_artists").select("id_release", "id_artist").distinct()
     if known_only:
         ra = ra.join(m.t("artist").select("id_artist"), "id_artist", "left_semi")
+    if artist_ids is not None:
+        # only the hubs of the given artists (all their members)
+        mine = ra.join(artist_ids.select("id_artist"), "id_artist", "left_semi").select("id_release").distinct()
+        ra = ra.join(mine, "id_release", "left_semi")
     multi = ra.groupBy("id_release").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= 2)
     return ra.join(multi.select("id_release"), "id_release", "left_semi")
 
@@ -170,10 +177,14 @@ def co_appearance_pairs(hubs: DataFrame, artist_ids: DataFrame) -> DataFrame:
     return both.distinct().withColumn("relation_type", F.lit("co_appearance"))
 
 
-def explicit_relations(m, roles: DataFrame | None = None) -> DataFrame:
-    """Union of the four row-derived branches (a, b, c, e), without filters."""
+def explicit_relations(m, roles: DataFrame | None = None, artist_ids: DataFrame | None = None) -> DataFrame:
+    """Union of the four row-derived branches (a, b, c, e), without filters.
+
+    ``artist_ids`` only narrows the release-role branch (its two ends are the
+    same artist); callers still filter the ends.
+    """
     return (rel_group_member(m).unionByName(rel_member_of_group(m)).unionByName(rel_alias(m))
-            .unionByName(rel_release_role(m, roles)))
+            .unionByName(rel_release_role(m, roles, artist_ids)))
 
 
 def known_both_ends(m, rel: DataFrame) -> DataFrame:
