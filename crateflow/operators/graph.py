@@ -306,7 +306,7 @@ def star_edges(g: Graph) -> tuple[DataFrame, DataFrame]:
 
 
 def eigenvector_centrality(nodes: DataFrame, edges: DataFrame, group: str | None = None,
-                           rounds: int = 60, tol: float = 1e-7, check_every: int = 4) -> DataFrame:
+                           rounds: int = 60, tol: float = 1e-6, check_every: int = 4) -> DataFrame:
     """(node, [group], eigenvalue) by power iteration on A + I, scaled
     to max 1 within each group (A alone oscillates on bipartite graphs; the
     shift keeps the same eigenvector). Edges only count inside a group.
