@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from crateflow.operators import catalog as C
 from crateflow.operators import derive as D
 from crateflow.operators import similarity as S
-from crateflow.operators.keys import pin_keys
+from crateflow.operators.keys import pin_keys, pin_rows
 
 
 def artist_related(m, artist_ids: DataFrame) -> DataFrame:
@@ -43,6 +43,7 @@ RELATED_FIELDS = ["id_artist_to", "name_artist", "relation_type", "url_image", "
 def artist_documents(m, listing: DataFrame) -> DataFrame:
     """Q12: attach formats / genres / styles / related artists to a listing
     of artists (rows of Q1..Q7), plus ``qty_artists_related`` (0 if none)."""
+    listing = pin_rows(listing)
     ids = pin_keys(listing, "id_artist")
     out = listing
     for name, fn, attr in (("formats_collection", C.artist_formats, "name_format"),

@@ -21,3 +21,17 @@ def pin_keys(df: DataFrame, col: str, max_inline: int = 10_000) -> DataFrame:
     from crateflow.session import cut_lineage
 
     return cut_lineage(keys)
+
+
+def pin_rows(df: DataFrame, max_inline: int = 10_000) -> DataFrame:
+    """Evaluate a small listing once (a top-k page) and reuse its rows.
+
+    Same rule as ``pin_keys``: inline up to ``max_inline`` rows (checked by
+    the ``limit``), otherwise write it to the shared folder.
+    """
+    rows = df.limit(max_inline + 1).collect()
+    if len(rows) <= max_inline:
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    from crateflow.session import cut_lineage
+
+    return cut_lineage(df)
