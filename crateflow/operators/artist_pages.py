@@ -21,14 +21,14 @@ def artist_related(m, artist_ids: DataFrame) -> DataFrame:
     of the given artists only.
     """
     ids = pin_keys(artist_ids, "id_artist")
-    rel = D.explicit_relations(m, artist_ids=ids)
+    rel = D.derived_relations(m)
     # one pass over the relations: flag each end against the (small) id set
     f = ids.select(F.col("id_artist").alias("id_artist_from"), F.lit(1).alias("__f"))
     t = ids.select(F.col("id_artist").alias("id_artist_to"), F.lit(1).alias("__t"))
     hit = (rel.join(f, "id_artist_from", "left").join(t, "id_artist_to", "left")
            .filter(F.col("__f").isNotNull() | F.col("__t").isNotNull())
            .select("id_artist_from", "id_artist_to", "relation_type"))
-    co = D.co_appearance_pairs(D.co_appearance_hubs(m, artist_ids=ids), ids)
+    co = D.co_appearance_pairs(D.derived_hubs(m), ids)
     rel = D.known_both_ends(m, hit.unionByName(co)).distinct()
     to = m.t("artist").select(F.col("id_artist").alias("id_artist_to"), "name_artist")
     j = rel.join(to, "id_artist_to")

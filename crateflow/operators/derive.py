@@ -202,6 +202,22 @@ def artist_relations(m, roles: DataFrame | None = None) -> DataFrame:
         "id_artist_from", "id_artist_to", "relation_type")
 
 
+def stored_or_built(m, name: str, build):
+    """A derived table as the derive step leaves it: stored once per
+    application when the handle can store (``Model``), else built lazily."""
+    return m.stored(name, build) if hasattr(m, "stored") else build()
+
+
+def derived_relations(m) -> DataFrame:
+    """Explicit relations (unfiltered), as stored by the derive step."""
+    return stored_or_built(m, "derived_explicit_relations", lambda: explicit_relations(m))
+
+
+def derived_hubs(m) -> DataFrame:
+    """Known-artist co-appearance hubs, as stored by the derive step."""
+    return stored_or_built(m, "derived_co_appearance_hubs", lambda: co_appearance_hubs(m))
+
+
 # ---- frontier bookkeeping ------------------------------------------------------
 
 def referenced_artist_ids(m) -> DataFrame:
