@@ -33,3 +33,10 @@ def test_oracle_for_every_query_or_rows_only():
     assert rows_only == {"q6_artists_random", "q17_collection_random", "g10_communities",
                          "g11_community_hierarchy", "g12_eigenvector_centrality", "g19_expand_frontier",
                          "g20_network_all"}
+
+
+@pytest.mark.parametrize("key,col", [("q13_artist_urls", "id_artist"), ("q23_release_head", "id_release")])
+def test_page_filter_reaches_scan(spark, key, col):
+    plan = E.queries()[key](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    scans = [ln for ln in plan.splitlines() if "FileScan parquet" in ln]
+    assert scans and all(f"EqualTo({col},0)" in ln for ln in scans)
