@@ -7,13 +7,11 @@ first place of each of its hashes; a hash that repeats within a slice is
 settled there, so a passage that a third of the corpus holds reaches its
 bucket once for each slice, not once for each document. A bucket counts its
 hashes, and every place but the first goes back to its document as an
-interval; the document merges them into maximal removal intervals.
+interval; a document's intervals are merged into maximal removal intervals.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -27,7 +25,8 @@ _SECOND = np.uint64(0xA0761D6478BD642F)
 _NULL = np.iinfo(np.int64).max  # a null id comes after all others
 
 _SENT = "bucket int, hashes binary, places binary, owners binary"
-_FOUND = "doc_id bigint, version bigint, starts binary, stops binary"
+_FOUND = "shard int, ranges binary"
+_SPANS = "doc_id bigint, version bigint, starts binary, stops binary"
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -62,25 +61,38 @@ def _later(h: np.ndarray, doc: np.ndarray, version: np.ndarray, start: np.ndarra
     return later, twin
 
 
-def _runs(doc: np.ndarray, version: np.ndarray, start: np.ndarray, length: int):
-    """Sorted places merged into rows of intervals for each document: _FOUND columns."""
+def _merged(doc: np.ndarray, version: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Ranges sorted by document and merged where they overlap or touch: rows doc, version, start, stop."""
     order = np.lexsort((start, version, doc))
-    doc, version, start = doc[order], version[order], start[order]
+    doc, version, start, stop = doc[order], version[order], start[order], stop[order]
     new_doc = np.ones(len(doc), dtype=bool)
     new_doc[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
-    new_run = new_doc.copy()
-    new_run[1:] |= start[1:] > start[:-1] + length
-    first = np.flatnonzero(new_run)
+    # the farthest stop so far in the same document: an offset for each document keeps them apart
+    shift = np.cumsum(new_doc) * (int(stop.max(initial=0)) + 1)
+    far = np.maximum.accumulate(stop + shift) - shift
+    new = new_doc.copy()
+    new[1:] |= start[1:] > far[:-1]
+    first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc))[: len(first)] - 1
-    begins, ends = start[first].astype("<u4"), (start[last] + length).astype("<u4")
-    at = np.searchsorted(first, np.flatnonzero(new_doc)).tolist() + [len(first)]
-    rows = first[at[:-1]] if len(first) else first
-    return (pa.array(doc[rows], mask=doc[rows] == _NULL), pa.array(version[rows]),
-            [begins[a:b].tobytes() for a, b in zip(at, at[1:])], [ends[a:b].tobytes() for a, b in zip(at, at[1:])])
+    return np.stack([doc[first], version[first], start[first], far[last]])
+
+
+def _by_shard(ranges: np.ndarray, shards: int):
+    """(shard, packed ranges) with each document's ranges in one shard."""
+    shard = (mix(ranges[0].view(np.uint64) ^ ranges[1].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        mine = ranges[:, order[cuts[s]: cuts[s + 1]]]
+        yield s, _pack(np.diff(mine, axis=1, prepend=0).ravel().view(np.uint64), 8)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob, 8).view(np.int64).reshape(4, -1), axis=1)
 
 
 def _sender(length: int, buckets: int, slice_bytes: int, block: int = 1 << 20):
-    """Arrow batches (doc_id, version, text) -> packed windows; bucket -1 - b holds intervals settled in the slice."""
+    """Arrow batches (doc_id, version, text) -> packed windows; bucket -1 - s holds ranges for shard s that the slice settled."""
 
     def send(batches):
         for part in slices(batches, "text", slice_bytes):
@@ -101,10 +113,9 @@ def _sender(length: int, buckets: int, slice_bytes: int, block: int = 1 << 20):
                 start = at - first
                 again, twin = _later(h ^ (mix(g) << np.uint64(56)), doc[owner], version[owner], start)
                 if again.any():
-                    found = _runs(doc[owner[again]], version[owner[again]], start[again], length)
-                    for d, v, s, e in zip(found[0].to_pylist(), found[1].to_pylist(), found[2], found[3]):
-                        yield (-1 - hash((d, v)) % buckets, s, e,
-                               np.array([_NULL if d is None else d, v], dtype="<i8").tobytes())
+                    ranges = _merged(doc[owner[again]], version[owner[again]], start[again], start[again] + length)
+                    for shard, blob in _by_shard(ranges, buckets):
+                        yield -1 - shard, blob, b"", b""
                 keep = ~(again | twin)
                 at, owner, h, to = at[keep], owner[keep], h[keep], (g[keep] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
@@ -137,19 +148,15 @@ def _batched(rows_of, most: int = 4 << 20):
     return run
 
 
-def _counter(length: int):
-    """The packed rows of one bucket -> intervals of every place that is not the first of its hash."""
-    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("starts", pa.binary()), ("stops", pa.binary())])
-
-    def batch(doc, version, starts, stops):
-        return pa.table([doc, version, pa.array(starts, pa.binary()), pa.array(stops, pa.binary())], schema=schema)
+def _counter(length: int, shards: int):
+    """The packed rows of one bucket -> ranges of every place that is not the first of its hash."""
+    schema = pa.schema([("shard", pa.int32()), ("ranges", pa.binary())])
 
     def count(table: pa.Table) -> pa.Table:
-        settled, h, doc, version, start = [], [], [], [], []
+        found, h, doc, version, start = [], [], [], [], []
         for bucket, hashes, places, owners in zip(*(table.column(c).to_pylist() for c in table.column_names)):
             if bucket < 0:
-                d, v = np.frombuffer(owners, dtype="<i8").tolist()
-                settled.append((None if d == _NULL else d, v, hashes, places))
+                found.append((-1 - bucket, hashes))
                 continue
             h.append(_unpack(hashes, 7))
             at = np.cumsum(_unpack(places, 4).astype(np.int64))
@@ -158,18 +165,31 @@ def _counter(length: int):
             doc.append(np.cumsum(docs)[who])
             version.append(versions[who])
             start.append(at - rows[who])
-        if settled:
-            d, v, s, e = zip(*settled)
-            return batch(pa.array(d, pa.int64()), pa.array(v, pa.int64()), s, e)
-        if not h:
-            return schema.empty_table()
-        h, doc, version, start = map(np.concatenate, (h, doc, version, start))
-        later, _ = _later(h, doc, version, start)
-        return batch(*_runs(doc[later], version[later], start[later], length))
+        if h:
+            h, doc, version, start = map(np.concatenate, (h, doc, version, start))
+            later, _ = _later(h, doc, version, start)
+            if later.any():
+                found += _by_shard(_merged(doc[later], version[later], start[later], start[later] + length), shards)
+        shard, blobs = zip(*found) if found else ((), ())
+        return pa.table([pa.array(shard, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
     return count
 
 
+def _gather(table: pa.Table) -> pa.Table:
+    """All ranges of one shard -> one row for each document, with its maximal ranges."""
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("starts", pa.binary()), ("stops", pa.binary())])
+    doc, version, start, stop = _merged(*np.concatenate([_unpacked(b) for b in table.column("ranges").to_pylist()], axis=1))
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
+    at = np.flatnonzero(new)
+    cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(doc)]))
+    start, stop = start.astype("<u4"), stop.astype("<u4")
+    return pa.table([pa.array(doc[at], mask=doc[at] == _NULL), pa.array(version[at]),
+                     pa.array([start[a:b].tobytes() for a, b in cuts], pa.binary()),
+                     pa.array([stop[a:b].tobytes() for a, b in cuts], pa.binary())], schema=schema)
+
+
 def _remover(length: int):
     """Rows with their intervals -> counts, merged spans and the kept words."""
     schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
@@ -182,15 +202,12 @@ def _remover(length: int):
                 words = (text or "").encode().split()
                 spans = []
                 if starts:
-                    begin = np.frombuffer(b"".join(starts), dtype="<u4").astype(np.int64)
-                    end = np.frombuffer(b"".join(stops), dtype="<u4").astype(np.int64)
-                    depth = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(depth, begin, 1)
-                    np.add.at(depth, end, -1)
-                    gone = np.cumsum(depth[:-1]) > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                    spans = [{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()]
-                    kept = list(itertools.compress(words, (~gone).tolist()))
+                    bounds = list(zip(*(np.frombuffer(x, dtype="<u4").tolist() for x in (starts, stops))))
+                    spans = [{"start": a, "stop": b} for a, b in bounds]
+                    kept, at = [], 0
+                    for a, b in [*bounds, (len(words), 0)]:
+                        kept += words[at:a]
+                        at = b
                 else:
                     kept = words
                 rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace"), spans))
@@ -226,9 +243,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = own.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-total // chars_per_bucket))
     sent = own.select("doc_id", "version", "text").mapInArrow(_sender(length, buckets, slice_bytes), _SENT)
-    found = sent.groupBy("bucket").applyInArrow(_counter(length), _FOUND)
-    spans = found.groupBy("doc_id", "version").agg(F.collect_list("starts").alias("starts"),
-                                                   F.collect_list("stops").alias("stops")).alias("s")
+    found = sent.groupBy("bucket").applyInArrow(_counter(length, buckets), _FOUND)
+    spans = found.groupBy("shard").applyInArrow(_gather, _SPANS).alias("s")
     own = own.alias("d")
     joined = own.join(spans, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.version") == F.col("s.version")),
                       "left").select("d.doc_id", "d.text", "s.starts", "s.stops")
