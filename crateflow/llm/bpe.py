@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateflow.llm.common import slices, utf8_buffers, word_hashes
+from crateflow.llm.common import extended, slices, utf8_buffers, word_hashes
 
 #: Fixed value: the published pre-token pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -431,7 +431,5 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", special: b
                 [*(part.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                  pa.array(decoded, pa.string())], names=[*kept, ids_col, decoded_col])
 
-    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
-
-    schema = StructType([docs.schema[c] for c in kept]).add(ids_col, ArrayType(IntegerType())).add(decoded_col, StringType())
+    schema = extended(docs, kept, f"`{ids_col}` array<int>, `{decoded_col}` string")
     return carried.mapInArrow(run, schema)

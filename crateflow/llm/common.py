@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from crateflow.session import scratch_path
 
@@ -41,6 +42,11 @@ def forget(df: DataFrame | None) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def extended(df: DataFrame, kept: list[str], more: str) -> StructType:
+    """The schema of ``kept`` columns of ``df`` and of ``more`` (DDL)."""
+    return StructType([*(df.schema[c] for c in kept), *StructType.fromDDL(more)])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
