@@ -419,12 +419,12 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", special: b
     """
     model = shared_model(docs.sparkSession, path)
     kept = [c for c in docs.columns if c not in (ids_col, decoded_col)]
-    carried = docs.select(*kept, F.col(text_col).cast("binary").alias("__text"))
+    carried = docs.select(*kept, F.col(text_col).cast("binary").alias("__own_text"))
 
     def run(batches):
         bpe = model()
-        for part in slices(batches, "__text", 2 << 20):
-            flat, counts = bpe.encode_texts(part.column("__text"), special)
+        for part in slices(batches, "__own_text", 2 << 20):
+            flat, counts = bpe.encode_texts(part.column("__own_text"), special)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             decoded = [bpe.decode(flat[i:j]) for i, j in zip(offsets.tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(

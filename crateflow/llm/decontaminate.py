@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateflow.llm.common import slices, utf8_buffers, window_hashes, word_hashes, word_spans
+from crateflow.llm.common import slices, utf8_buffers, window_hashes, word_hashes, word_spans, written
 
 #: ASCII other than letters and digits becomes a space.
 _FOLD = np.frombuffer(bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)), dtype=np.uint8)
@@ -224,6 +224,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
                         **options) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item (see ``contaminated_pairs``)."""
     pairs = contaminated_pairs(docs, benchmark, id_col, text_col, **options)
-    bad = pairs.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct()
+    # stored, so that Spark knows its size when it plans the join
+    bad = written(pairs.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct(), "contaminated")
     version = F.coalesce(F.crc32(F.col(text_col).cast("string").cast("binary")), F.lit(-1))
     return docs.join(bad, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (version == F.col("__version")), "left_anti")

@@ -108,15 +108,15 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", m
 
     def run(batches):
         scorer = Scorer(sent.value)
-        for part in slices(batches, "__text", 4 << 20):
-            found = [scorer.predict(raw) for raw in part.column("__text").to_pylist()]
+        for part in slices(batches, "__own_text", 4 << 20):
+            found = [scorer.predict(raw) for raw in part.column("__own_text").to_pylist()]
             names, scores = zip(*found)
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
                  pa.array([n != UNKNOWN and s >= min_margin for n, s in found], pa.bool_())], names=[*kept, *new])
 
     schema = extended(docs, kept, f"`{pred_col}` string, `{score_col}` double, `{accepted_col}` boolean")
-    return (docs.select(*kept, F.col(text_col).cast("string").cast("binary").alias("__text"))
+    return (docs.select(*kept, F.col(text_col).cast("string").cast("binary").alias("__own_text"))
             .mapInArrow(run, schema))
 
 

@@ -60,16 +60,16 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     an empty table gives no rows.
     """
     found = written(boilerplate_lines(pages, host_col, text_col, max_ratio, min_pages), "boilerplate")
-    found = found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
+    found = found.select(F.col("host").alias("__own_host"), F.col("lines").alias("__own_gone"))
     new = (kept_col, lines_col, dropped_col)
     kept = [c for c in pages.columns if c not in new]
-    joined = pages.select(*kept, F.col(host_col).cast("string").alias("__at"), F.col(text_col).cast("string").alias("__text")
-                          ).join(found, F.col("__at") == F.col("__host"), "left")
-    gone = lambda x: F.coalesce(F.array_contains("__lines", _key(x)), F.lit(False)) & ~_blank(x)
-    left = F.array_join(F.filter(_lines(F.col("__text")), lambda x: ~gone(x)), "\n")
+    joined = pages.select(*kept, F.col(host_col).cast("string").alias("__own_at"), F.col(text_col).cast("string").alias("__own_text")
+                          ).join(found, F.col("__own_at") == F.col("__own_host"), "left")
+    gone = lambda x: F.coalesce(F.array_contains("__own_gone", _key(x)), F.lit(False)) & ~_blank(x)
+    left = F.array_join(F.filter(_lines(F.col("__own_text")), lambda x: ~gone(x)), "\n")
     count = lambda a: F.greatest(F.size(a), F.lit(0)).cast("bigint")
     return joined.select(
-        *kept, F.when(F.col("__lines").isNull(), F.col("__text")).otherwise(left).alias(kept_col),
-        count(F.filter(_lines(F.coalesce("__text", F.lit(""))), lambda x: ~_blank(x))).alias(lines_col),
-        F.when(F.col("__lines").isNull(), F.lit(0).cast("bigint"))
-        .otherwise(count(F.filter(_lines(F.coalesce("__text", F.lit(""))), gone))).alias(dropped_col))
+        *kept, F.when(F.col("__own_gone").isNull(), F.col("__own_text")).otherwise(left).alias(kept_col),
+        count(F.filter(_lines(F.coalesce("__own_text", F.lit(""))), lambda x: ~_blank(x))).alias(lines_col),
+        F.when(F.col("__own_gone").isNull(), F.lit(0).cast("bigint"))
+        .otherwise(count(F.filter(_lines(F.coalesce("__own_text", F.lit(""))), gone))).alias(dropped_col))

@@ -156,8 +156,8 @@ def index(docs: DataFrame, path: str, text_col: str = "text", per_leaf: int = 16
 
     def run(batches):
         bpe = model()
-        for part in slices(batches, "__text", 2 << 20):
-            n, chars, tokens = _leaves(bpe, _valid(part.column("__text")), per_leaf)
+        for part in slices(batches, "__own_text", 2 << 20):
+            n, chars, tokens = _leaves(bpe, _valid(part.column("__own_text")), per_leaf)
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             total = np.concatenate([[0], np.cumsum(tokens)])
             lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(np.int32))) for x in (chars, tokens)]
@@ -165,7 +165,7 @@ def index(docs: DataFrame, path: str, text_col: str = "text", per_leaf: int = 16
                                               pa.array(total[offsets[1:]] - total[offsets[:-1]])], names=[*kept, *new])
 
     schema = extended(docs, kept, "leaf_chars array<int>, leaf_tokens array<int>, n_tokens bigint")
-    return docs.select(*kept, F.col(text_col).cast("string").cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").cast("binary").alias("__own_text")).mapInArrow(run, schema)
 
 
 def with_edits(state: DataFrame, edits: DataFrame, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
@@ -194,9 +194,9 @@ def apply_edits(state: DataFrame, path: str, text_col: str = "text", edits_col:
 
     def run(batches):
         bpe = model()
-        for part in slices(batches, "__text", 2 << 20):
+        for part in slices(batches, "__own_text", 2 << 20):
             docs, where, regions = [], [], []
-            columns = (part.column(c).to_pylist() for c in ("__text", "leaf_chars", "leaf_tokens", edits_col))
+            columns = (part.column(c).to_pylist() for c in ("__own_text", "leaf_chars", "leaf_tokens", edits_col))
             for text, chars, tokens, edits in zip(*columns):
                 doc = EditedDocument((text or b"").decode("utf-8", "replace"), np.array(chars or [], np.int64),
                                      np.array(tokens or [], np.int64))
@@ -220,7 +220,7 @@ def apply_edits(state: DataFrame, path: str, text_col: str = "text", edits_col:
             for row, own in counts.items():
                 docs[row].settle(own)
             states = [d.state() for d in docs]
-            was_null = part.column("__text").is_null().to_pylist()
+            was_null = part.column("__own_text").is_null().to_pylist()
             texts = [None if null and not d.text else d.text for d, null in zip(docs, was_null)]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in kept), pa.array(texts, pa.string()),
@@ -230,5 +230,5 @@ def apply_edits(state: DataFrame, path: str, text_col: str = "text", edits_col:
 
     schema = extended(state, kept, f"`{text_col}` string, leaf_chars array<int>, leaf_tokens array<int>, "
                                    "n_tokens bigint, reencoded_chars bigint")
-    return (state.select(*kept, F.col(text_col).cast("string").cast("binary").alias("__text"), "leaf_chars", "leaf_tokens",
+    return (state.select(*kept, F.col(text_col).cast("string").cast("binary").alias("__own_text"), "leaf_chars", "leaf_tokens",
                          F.col(edits_col).cast(EDITS).alias(edits_col)).mapInArrow(run, schema))
