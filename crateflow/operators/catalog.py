@@ -88,7 +88,7 @@ def artists_top_collected(m) -> DataFrame:
 
 def artists_random(m, n: int = 5, seed: int | None = None) -> DataFrame:
     """Q6: ``n`` random artists of Q1."""
-    return sample_n(artist_catalog(m), n, seed)
+    return sample_n(artist_catalog(m), n, seed, ["id_artist", "url_image"])
 
 
 def artists_search(m, text: str, wildcards: bool = False) -> DataFrame:
@@ -170,7 +170,7 @@ def collection_top10(m, k: int = 10) -> DataFrame:
 
 def collection_random(m, n: int = 5, seed: int | None = None) -> DataFrame:
     """Q17."""
-    return sample_n(collection_base(m), n, seed)
+    return sample_n(collection_base(m), n, seed, ["id_release"])
 
 
 def collection_search(m, text: str, wildcards: bool = False) -> DataFrame:

@@ -2,12 +2,12 @@
 
 Both contractions keep the components: the large star links every larger
 neighbour of a node to the least of its neighbourhood, the small star links
-the node and its smaller neighbours to their least. The edge count never
-grows and a fixed point is reached in about log(n) rounds, where every node
-hangs on the least node of its component. Each half round is one aggregation
-with map-side combine and one join on the node (a node with very many
-neighbours is split by the skew join), and its result is a table in the
-shared folder; nothing but one pair of numbers for each round comes to the driver.
+the node and its smaller neighbours to their least. The number of rounds
+grows with the logarithm of the longest path, so a path of thousands of hops
+takes a dozen. Each half round is one aggregation with map-side combine and
+one join on the node (a node with very many neighbours is split by the skew
+join); its result is a table in the shared folder and replaces the one
+before. Two numbers for each round come to the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateflow.llm.common import forget, written
+from crateflow.session import cut_lineage, drop_scratch
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -25,8 +25,7 @@ def _least(pairs: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least(both).select("u", F.least("u", "m").alias("m"))
-    return (both.where("v > u").join(least, "u").where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -37,29 +36,29 @@ def _small_star(edges: DataFrame) -> DataFrame:
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
 
 
-def _digest(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 16))).first())
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node that hangs on none."""
+    up = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    tops = edges.select(F.col("v").alias("top")).distinct()
+    most, inner = up.join(tops, F.col("u") == F.col("top"), "left").agg(F.max("n"), F.count("top")).first()
+    return (most or 0) <= 1 and inner == 0
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component): each node of ``edges`` (columns u, v) with the least node it reaches.
 
     Self-loops and nulls are dropped, repeated and reversed edges are one.
-    A node without an edge to another one does not appear. Runs until a
-    round changes nothing.
+    A node without an edge to another one does not appear. Runs until the
+    edges are a forest of stars, which is the answer itself.
     """
-    current = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                      .distinct(), "cc")
-    seen = _digest(current)
-    while seen[0]:
-        large = written(_large_star(current), "cc")
-        small = written(_small_star(large), "cc")
-        forget(current)
-        forget(large)
-        current, last, seen = small, seen, _digest(small)
-        if seen == last:
-            break
+    current = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                          .distinct())
+    while not _is_forest_of_stars(current):
+        large = cut_lineage(_large_star(current))
+        small = cut_lineage(_small_star(large))
+        drop_scratch(current)
+        drop_scratch(large)
+        current = small
     leaves = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)

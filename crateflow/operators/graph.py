@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crateflow.operators import derive as D
-from crateflow.session import cut_lineage
+from crateflow.operators.components import connected
+from crateflow.session import cut_lineage, drop_scratch
 
 
 @dataclass
@@ -122,132 +123,107 @@ def relation_graph(m) -> Graph:
     return Graph(v, e, h).materialized()
 
 
+def clustered_graph(m) -> Graph:
+    """G7 of the relation graph: the graph that components and communities are found on."""
+    g = relation_graph(m)
+    return pruned(g, _ckpt(relevant_vertices(g))).materialized()
+
+
+def stored_graph(m, name: str, build) -> Graph:
+    """A graph whose three tables are stored once for each dataset, as the derivations are."""
+    made: list[Graph] = []
+
+    def part(of):
+        def run():
+            if not made:
+                made.append(build(m))
+            return getattr(made[0], of)
+        return run
+
+    return Graph(*(m.stored(f"graph_{name}_{of}", part(of)) for of in ("vertices", "edges", "hubs")))
+
+
 # ---- traversal ------------------------------------------------------------------------
 
-def _step(g: Graph, frontier: DataFrame, used_hubs: DataFrame, key: list[str]):
-    """One hop from ``frontier`` (key + id): direct neighbours and members of
-    hubs not expanded before. Returns (neighbours key+id, hubs used now)."""
+def _neighbours(g: Graph, frontier: DataFrame, key: list[str]) -> DataFrame:
+    """One hop from ``frontier`` (key + id): direct neighbours and members of its hubs.
+
+    Hubs are made distinct before their members are joined, so a hub is
+    expanded once, however many of its members the frontier holds.
+    """
     direct = frontier.join(g.edges.withColumnRenamed("src", "id"), "id").select(*key, F.col("dst").alias("id"))
-    hit = frontier.join(g.hubs, "id").select(*key, "hub").distinct().join(used_hubs, [*key, "hub"], "left_anti")
-    via = hit.join(g.hubs, "hub").select(*key, "id")
-    return direct.unionByName(via).distinct(), hit
+    hubs = frontier.join(g.hubs, "id").select(*key, "hub").distinct()
+    return direct.unionByName(hubs.join(g.hubs, "hub").select(*key, "id")).distinct()
 
 
 def neighbourhood(g: Graph, seeds: DataFrame, k: int = 2) -> DataFrame:
     """Vertices within ``k`` hops of any seed, with the hop distance.
 
-    Multi-source BFS: one job per hop for all seeds together.
+    One lazy plan: every hop starts from all vertices of the hop before, and
+    the least distance of a vertex is taken at the end.
     """
-    reached = seeds.select("id").distinct().withColumn("dist", F.lit(0))
-    frontier = reached.select("id")
-    used = g.spark.createDataFrame([], "hub bigint")
+    hop = seeds.select("id").distinct()
+    reached = hop.withColumn("dist", F.lit(0))
     for d in range(1, k + 1):
-        nb, hit = _step(g, frontier, used, [])
-        hit = _ckpt(hit)
-        new = _ckpt(nb.join(reached.select("id"), "id", "left_anti"))
-        used = used.unionByName(hit)
-        reached = reached.unionByName(new.withColumn("dist", F.lit(d)))
-        frontier = new
-        if new.isEmpty():
-            break
-    return reached
+        hop = _neighbours(g, hop, [])
+        reached = reached.unionByName(hop.withColumn("dist", F.lit(d)))
+    return reached.groupBy("id").agg(F.min("dist").alias("dist"))
 
 
-def seed_distances(g: Graph, seeds: DataFrame, max_hops: int | None = None,
-                   stop_at: DataFrame | None = None) -> DataFrame:
-    """(seed, id, dist) — BFS from every seed separately (seed kept in the key).
+def seed_distances(g: Graph, sources: DataFrame) -> DataFrame:
+    """(seed, id, dist): breadth-first search from every source separately, until nothing new is reached.
 
-    ``stop_at``: vertices that are reached but never expanded (other seeds,
-    for the seed-free segments of ``shortest_path_connectors``).
+    The state has a row for each source and vertex, so ``sources`` is a
+    bounded set given by the caller.
     """
-    key = ["seed"]
-    states = seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("dist", F.lit(0))
-    frontier = states.select("seed", "id")
-    used = g.spark.createDataFrame([], "seed bigint, hub bigint")
-    d = 0
-    while max_hops is None or d < max_hops:
+    states = _ckpt(sources.select(F.col("id").alias("seed"), "id").distinct().withColumn("dist", F.lit(0)))
+    frontier, d = states.select("seed", "id"), 0
+    while not frontier.isEmpty():
         d += 1
-        nb, hit = _step(g, frontier, used, key)
-        hit = _ckpt(hit)
-        new = _ckpt(nb.join(states.select("seed", "id"), ["seed", "id"], "left_anti"))
-        if new.isEmpty():
-            break
-        used = used.unionByName(hit)
+        new = _ckpt(_neighbours(g, frontier, ["seed"]).join(states.select("seed", "id"), ["seed", "id"], "left_anti"))
         states = states.unionByName(new.withColumn("dist", F.lit(d)))
-        frontier = new if stop_at is None else new.join(stop_at.select("id"), "id", "left_anti")
+        frontier = new
     return _ckpt(states)
 
 
-def shortest_path_connectors(g: Graph, seeds: DataFrame, max_hops: int | None = None,
-                             block_size: int = 4096) -> DataFrame:
-    """Every vertex on some shortest path between two seeds (seeds included).
+def shortest_path_connectors(g: Graph, sources: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Every vertex on some shortest path from a source to a seed (both ends included).
 
     All shortest paths are taken (a superset of the single, tie-dependent
-    path a sequential library returns). Exact and cheaper than a BFS per
-    seed over the whole graph:
-
-    * a non-seed vertex on a shortest seed-to-seed path lies on a *seed-free*
-      shortest segment between consecutive seeds of that path, so each seed's
-      search never expands another seed;
-    * a segment of length <= 2 is always shortest (two distinct seeds are at
-      least 1 apart); a longer one is checked against an unrestricted BFS
-      from its source, run only for the sources that have such segments;
-    * the vertices of the valid segments come from a backward walk over
-      neighbours one hop closer to the source.
-
-    Seeds are processed in blocks so the (seed, vertex) state stays bounded.
-    """
-    seeds = _ckpt(seeds.select("id").distinct())
-    n_seeds = seeds.count()
-    n_blocks = max(1, -(-n_seeds // block_size))
-    out = seeds
-    no_hubs = g.spark.createDataFrame([], "seed bigint, hub bigint")
-    for b in range(n_blocks):
-        block = seeds.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b) if n_blocks > 1 else seeds
-        states = seed_distances(g, block, max_hops, stop_at=seeds)
-        targets = states.join(seeds, "id", "left_semi").filter(F.col("dist") > 1)
-        long_src = targets.filter(F.col("dist") >= 3).select(F.col("seed").alias("id")).distinct()
-        if not long_src.isEmpty():
-            true_d = seed_distances(g, long_src, max_hops).join(seeds, "id", "left_semi")
-            bad = (targets.join(true_d.withColumnRenamed("dist", "__d"), ["seed", "id"])
-                   .filter(F.col("__d") < F.col("dist")).select("seed", "id"))
-            targets = targets.join(bad, ["seed", "id"], "left_anti")
-        cur = _ckpt(targets.select("seed", "id", "dist"))
-        on_path = cur
-        while not cur.isEmpty():
-            back = (cur.select("seed", F.col("id").alias("__w"), "dist")
-                    .join(_pairs_back(g, cur.select("seed", "id")), ["seed", "__w"])
-                    .join(states.withColumnRenamed("dist", "__du"), ["seed", "id"])
-                    .filter(F.col("__du") == F.col("dist") - 1)
-                    .select("seed", "id", F.col("__du").alias("dist")).distinct())
-            cur = _ckpt(back.join(on_path.select("seed", "id"), ["seed", "id"], "left_anti"))
-            on_path = on_path.unionByName(cur)
-        out = out.unionByName(on_path.select("id"))
-    return out.distinct()
-
-
-def _pairs_back(g: Graph, cur: DataFrame) -> DataFrame:
-    """(seed, __w, id): neighbours ``id`` of the walk vertices ``__w``.
-
-    Hubs are de-duplicated per (seed, hub) before their members are joined.
+    path a sequential library returns). ``sources`` is a bounded set, as for
+    the similarity of given artists: the search state has a row for each
+    source and vertex. The path vertices come from a walk back from the
+    seeds, one hop nearer to the source each round; a hub is expanded once
+    for each (source, distance), so its cost is linear in its members.
     """
-    w = cur.select("seed", F.col("id").alias("__w"))
-    direct = w.join(g.edges.withColumnRenamed("src", "__w"), "__w").select("seed", "__w", F.col("dst").alias("id"))
-    hubs_w = w.join(g.hubs.withColumnRenamed("id", "__w"), "__w").select("seed", "__w", "hub")
-    via = hubs_w.join(g.hubs, "hub").select("seed", "__w", "id").filter(F.col("id") != F.col("__w"))
-    return direct.unionByName(via)
+    states = seed_distances(g, sources)
+    current = _ckpt(states.join(seeds.select("id").distinct(), "id", "left_semi"))
+    found = current
+    while not current.isEmpty():
+        nearer = _neighbours(g, current.select("seed", "dist", "id"), ["seed", "dist"]).withColumn("dist", F.col("dist") - 1)
+        step = nearer.join(states, ["seed", "id", "dist"], "left_semi")
+        current = _ckpt(step.join(found, ["seed", "id", "dist"], "left_anti"))
+        found = found.unionByName(current.select(*found.columns))
+    return found.select("id").unionByName(sources.select("id")).distinct()
 
 
-def relevant_vertices(g: Graph, k: int = 2, max_hops: int | None = None) -> DataFrame:
-    """G4 ∪ G5 for the collected vertices."""
+def top_sources(g: Graph, k: int = 10) -> DataFrame:
+    """The ``k`` collected vertices with the largest degree (ties by id): the sources of G5 to G7."""
+    collected = g.vertices.filter(F.col("in_collection") == 1).select("id")
+    return _ckpt(vertex_degree(g).join(collected, "id", "left_semi").orderBy(F.col("degree").desc(), "id").limit(k).select("id"))
+
+
+def relevant_vertices(g: Graph, k: int = 2, sources: DataFrame | None = None) -> DataFrame:
+    """G4 of all collected vertices, and G5 from ``sources`` (default ``top_sources``) to all collected ones."""
     seeds = g.vertices.filter(F.col("in_collection") == 1).select("id")
+    sources = top_sources(g) if sources is None else sources
     near = neighbourhood(g, seeds, k).select("id")
-    return near.unionByName(shortest_path_connectors(g, seeds, max_hops)).distinct()
+    return near.unionByName(shortest_path_connectors(g, sources, seeds)).distinct()
 
 
-def artist_ignore(g: Graph, k: int = 2, max_hops: int | None = None) -> DataFrame:
-    """Vertices neither near a collected vertex nor on a path between two."""
-    keep = _ckpt(relevant_vertices(g, k, max_hops))
+def artist_ignore(g: Graph, k: int = 2, sources: DataFrame | None = None) -> DataFrame:
+    """Vertices neither near a collected vertex nor on a path from a source to one."""
+    keep = _ckpt(relevant_vertices(g, k, sources))
     return g.vertices.select(F.col("id").alias("id_artist")).join(
         keep.withColumnRenamed("id", "id_artist"), "id_artist", "left_anti")
 
@@ -261,25 +237,17 @@ def pruned(g: Graph, keep: DataFrame) -> Graph:
 
 # ---- components ---------------------------------------------------------------------------
 
-def connected_components(g: Graph, max_rounds: int = 1000) -> DataFrame:
+def connected_components(g: Graph) -> DataFrame:
     """(id, component) with component = smallest vertex id in it.
 
-    Min-label propagation over edges and hubs (a hub takes the smallest label
-    of its members and passes it back), until no label changes.
+    A hub becomes edges from its members to its least member, which keeps
+    the components and is linear; see ``components.connected``.
     """
-    labels = g.vertices.select("id", F.col("id").alias("label"))
-    for _ in range(max_rounds):
-        hub_min = g.hubs.join(labels, "id").groupBy("hub").agg(F.min("label").alias("label"))
-        via_hub = g.hubs.join(hub_min, "hub").select("id", "label")
-        via_edge = g.edges.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "label")
-        cand = labels.unionByName(via_hub).unionByName(via_edge).groupBy("id").agg(F.min("label").alias("label"))
-        new = _ckpt(cand)
-        changed = new.join(labels.withColumnRenamed("label", "__old"), "id").filter(
-            F.col("label") != F.col("__old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            break
-    return labels.withColumnRenamed("label", "component")
+    least = g.hubs.groupBy("hub").agg(F.min("id").alias("v"))
+    edges = (g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+             .unionByName(g.hubs.join(least, "hub").select(F.col("id").alias("u"), "v")))
+    found = connected(edges).withColumnRenamed("node", "id")
+    return g.vertices.select("id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def vertex_degree(g: Graph) -> DataFrame:
@@ -292,66 +260,47 @@ def vertex_degree(g: Graph) -> DataFrame:
 
 # ---- centrality -----------------------------------------------------------------------------
 
-def star_edges(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """The star expansion: nodes (node, kind, id) and undirected node edges
-    (u, v) both directions. Hub nodes get negative ids (-(hub+1)) so they
-    never collide with vertex ids."""
-    hub_node = (-(F.col("hub") + 1)).alias("v")
-    mem = g.hubs.select(F.col("id").alias("u"), hub_node)
-    e = (g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-         .unionByName(mem).unionByName(mem.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    nodes = (g.vertices.select(F.col("id").alias("node"))
-             .unionByName(g.hubs.select((-(F.col("hub") + 1)).alias("node")).distinct()))
-    return nodes, e
-
-
-def eigenvector_centrality(nodes: DataFrame, edges: DataFrame, group: str | None = None,
-                           rounds: int = 60, tol: float = 1e-6, check_every: int = 4) -> DataFrame:
-    """(node, [group], eigenvalue) by power iteration on A + I, scaled
-    to max 1 within each group (A alone oscillates on bipartite graphs; the
-    shift keeps the same eigenvector). Edges only count inside a group.
-
-    Lineage is cut (written table) every round; convergence is checked every
-    ``check_every`` rounds: a max change below ``tol`` stops the loop.
+def within_groups(g: Graph, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, grp) and hub memberships (grp, hub, id) inside the groups of (id, grp); a vertex may be in several.
+
+    A hub is restricted to each group it reaches; one member of a hub alone
+    has no neighbour there and is left out.
     """
-    g = group or "__grp"
-    if group is None:
-        nodes = nodes.withColumn(g, F.lit(0))
-    grp = nodes.select("node", g)
-    e = (edges.join(grp.withColumnRenamed("node", "u"), "u")
-         .join(grp.withColumnRenamed("node", "v").withColumnRenamed(g, "__gv"), "v")
-         .filter(F.col(g) == F.col("__gv")).select("u", "v"))
-    e = _ckpt(e)
-    x = _ckpt(grp.withColumn("x", F.lit(1.0)))
-    prev = x
-    for i in range(1, rounds + 1):
-        spread = e.join(x.select(F.col("node").alias("u"), "x"), "u").groupBy(F.col("v").alias("node")).agg(
-            F.sum("x").alias("__s"))
-        y = x.join(spread, "node", "left").withColumn("y", F.col("x") + F.coalesce("__s", F.lit(0.0)))
-        mx = y.groupBy(g).agg(F.max("y").alias("__mx"))
-        # each round reads x twice: cut every round, or stacked rounds recompute
-        x = _ckpt(y.join(mx, g).select("node", g, (F.col("y") / F.col("__mx")).alias("x")))
-        if i % check_every == 0 or i == rounds:
-            delta = x.join(prev.select("node", F.col("x").alias("__px")), "node").agg(
-                F.max(F.abs(F.col("x") - F.col("__px")))).first()[0]
-            prev = x
-            if delta is None or delta < tol:
-                break
-    out = x.withColumnRenamed("x", "eigenvalue")
-    return out if group is not None else out.drop(g)
-
-
-def vertex_centrality(g: Graph, node_group: DataFrame | None = None, rounds: int = 60) -> DataFrame:
-    """Eigenvector centrality of the vertices (hubs take part as star nodes),
-    rescaled to max 1 over the vertices of each group.
-
-    ``node_group``: (node, grp) for vertex and hub nodes (hub node id
-    ``-(hub+1)``); a node outside it is dropped. Default: one group.
+    a = groups.select(F.col("id").alias("src"), "grp")
+    b = groups.select(F.col("id").alias("dst"), "grp")
+    edges = g.edges.join(a, "src").join(b, ["dst", "grp"]).select("src", "dst", "grp")
+    members = g.hubs.join(groups.select("id", "grp"), "id").select("grp", "hub", "id")
+    several = members.groupBy("grp", "hub").agg(F.count(F.lit(1)).alias("__n")).filter("__n >= 2").drop("__n")
+    return edges, members.join(several, ["grp", "hub"], "left_semi")
+
+
+def eigenvector_centrality(g: Graph, groups: DataFrame | None = None, tol: float = 1e-6) -> DataFrame:
+    """(id, grp, eigenvalue) for each group of (id, grp); without groups all vertices are group 0.
+
+    Defined score: the leading eigenvector, scaled to maximum 1 in a group,
+    of the weighted graph where two vertices are joined with weight 1 for an
+    explicit edge and 1 for each hub they share. Power iteration on A + I (A
+    alone oscillates on bipartite graphs); the hub part of A x is the sum of
+    a hub less the vertex's own value, so no pair of members is formed.
+    Runs until no value changes by ``tol`` or more in a round; every round's
+    table replaces the one before.
     """
-    nodes, e = star_edges(g)
-    grp = nodes.withColumn("grp", F.lit(0)) if node_group is None else node_group.select("node", "grp")
-    x = eigenvector_centrality(grp, e, "grp", rounds)
-    v = x.filter(F.col("node") >= 0)
-    mx = v.groupBy("grp").agg(F.max("eigenvalue").alias("__mx"))
-    return v.join(mx, "grp").select(F.col("node").alias("id"), "grp",
-                                    (F.col("eigenvalue") / F.col("__mx")).alias("eigenvalue"))
+    groups = g.vertices.select("id", F.lit(0).alias("grp")) if groups is None else groups.select("id", "grp")
+    edges, members = map(_ckpt, within_groups(g, groups))
+    x, change = _ckpt(groups.withColumn("x", F.lit(1.0)).withColumn("change", F.lit(1.0))), 1.0
+    while change is not None and change >= tol:
+        own = members.join(x.select("id", "grp", "x"), ["id", "grp"])
+        total = own.groupBy("grp", "hub").agg(F.sum("x").alias("total"))
+        via_hub = own.join(total, ["grp", "hub"]).select("id", "grp", (F.col("total") - F.col("x")).alias("add"))
+        via_edge = (edges.join(x.select(F.col("id").alias("src"), "grp", "x"), ["src", "grp"])
+                    .select(F.col("dst").alias("id"), "grp", F.col("x").alias("add")))
+        spread = via_hub.unionByName(via_edge).groupBy("id", "grp").agg(F.sum("add").alias("add"))
+        y = x.join(spread, ["id", "grp"], "left").withColumn("y", F.col("x") + F.coalesce("add", F.lit(0.0)))
+        new = y.join(y.groupBy("grp").agg(F.max("y").alias("most")), "grp").withColumn("new", F.col("y") / F.col("most"))
+        # each round reads x several times: cut every round, or stacked rounds recompute
+        new = _ckpt(new.select("id", "grp", F.col("new").alias("x"), F.abs(F.col("new") - F.col("x")).alias("change")))
+        drop_scratch(x)
+        x, change = new, new.agg(F.max("change")).first()[0]
+    drop_scratch(edges)
+    drop_scratch(members)
+    return x.select("id", "grp", F.col("x").alias("eigenvalue"))

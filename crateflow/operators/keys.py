@@ -4,34 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from crateflow.session import cut_lineage
 
-def pin_keys(df: DataFrame, col: str, max_inline: int = 10_000) -> DataFrame:
+
+def pin_keys(df: DataFrame, col: str) -> DataFrame:
     """Evaluate a key set once and reuse it.
 
     A listing (top-k, a page) feeds several joins; left lazy, its whole plan
-    would run once per branch. At most ``max_inline`` distinct keys are
-    brought back as a local relation (size checked by the ``limit``), which
-    Catalyst then broadcasts; a larger set is written to the shared
-    folder instead, so nothing unbounded passes through the driver.
+    would run once per branch. The keys are written to the shared folder, so
+    Spark knows their size when it chooses the joins.
     """
-    keys = df.select(col).distinct()
-    rows = keys.limit(max_inline + 1).collect()
-    if len(rows) <= max_inline:
-        return df.sparkSession.createDataFrame(rows, keys.schema)
-    from crateflow.session import cut_lineage
-
-    return cut_lineage(keys)
-
+    return cut_lineage(df.select(col).distinct())
 
-def pin_rows(df: DataFrame, max_inline: int = 10_000) -> DataFrame:
-    """Evaluate a small listing once (a top-k page) and reuse its rows.
-
-    Same rule as ``pin_keys``: inline up to ``max_inline`` rows (checked by
-    the ``limit``), otherwise write it to the shared folder.
-    """
-    rows = df.limit(max_inline + 1).collect()
-    if len(rows) <= max_inline:
-        return df.sparkSession.createDataFrame(rows, df.schema)
-    from crateflow.session import cut_lineage
 
+def pin_rows(df: DataFrame) -> DataFrame:
+    """Evaluate a listing once (a top-k page) and reuse its rows."""
     return cut_lineage(df)

@@ -17,7 +17,11 @@ _LOW_BITS = 33  # monotonically_increasing_id: partition id << 33 | row index
 
 
 def with_position(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
-    """Sort by ``order`` and add a 1-based consecutive ``name`` column."""
+    """Add the 1-based place of each row in the order of ``order`` as column ``name``.
+
+    The rows come as the sort left them, partition by partition; a caller
+    that shows them sorts by ``name``, others save the second global sort.
+    """
     from crateflow.session import cut_lineage
 
     mid = "__wp_mid"
@@ -32,7 +36,7 @@ def with_position(df: DataFrame, order: list[Column], name: str = "pos") -> Data
     out = (sorted_df.join(F.broadcast(offsets), part == F.col("__wp_part"))
            .withColumn(name, (F.col("__wp_off") + local + 1).cast("bigint"))
            .drop(mid, "__wp_part", "__wp_off"))
-    return out.orderBy(name)
+    return out
 
 
 def top_k(df: DataFrame, order: list[Column], k: int, name: str = "pos") -> DataFrame:
@@ -45,6 +49,13 @@ def top_k(df: DataFrame, order: list[Column], k: int, name: str = "pos") -> Data
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-def sample_n(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
-    """``n`` rows without replacement (all rows if fewer)."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_n(df: DataFrame, n: int, seed: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """``n`` rows without replacement (all rows if fewer).
+
+    With a seed and the key columns of a row, the sample is the first ``n``
+    rows by the MD5 of seed and keys: the same on every run and engine.
+    """
+    if seed is None or not keys:
+        return df.orderBy(F.rand(seed)).limit(n)
+    parts = [F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]]
+    return df.orderBy(F.md5(F.concat_ws(":", *parts))).limit(n)

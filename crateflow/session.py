@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,13 +40,16 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (what the cluster names). Only when
-    it is unset — local runs and tests — a scratch folder is created and
-    registered, so that later calls agree on it.
+    Read from ``spark.checkpoint.dir`` (what the cluster names). Where it is
+    unset, a session in one JVM (``local``) gets a scratch folder of its own,
+    registered so that later calls agree on it; on a cluster this is an
+    error, as each executor would write to its own disk.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="crateflow-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -64,9 +68,21 @@ def cut_lineage(df):
     Survives executor loss (the data is on shared storage) and, unlike an
     RDD checkpoint, restarts size statistics from the written files: in a
     loop, the estimate of a checkpointed join would otherwise keep the
-    product of all earlier estimates and planning time would explode.
+    product of all earlier estimates and planning time would explode. A loop
+    calls ``drop_scratch`` on the table of a round that is over.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "ckpt")
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def drop_scratch(df) -> None:
+    """Delete the table behind a frame that ``cut_lineage`` returned; any other frame is left alone."""
+    path = getattr(df, "scratch", None)
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

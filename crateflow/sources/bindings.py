@@ -199,10 +199,8 @@ class Model:
             if path is None:
                 tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:10]
                 path = f"{shared_dir(self.spark)}/crateflow-tables/{app}/{tag}/{name}"
-                # balanced files: AQE may coalesce a small final stage to one
-                # task, and a single file would then be read by one task too
-                n = max(1, self.spark.sparkContext.defaultParallelism)
-                build().repartition(n).write.mode("overwrite").parquet(path)
+                # evenly sized files; how many follows from the data
+                build().hint("rebalance").write.mode("overwrite").parquet(path)
                 _STORED[key] = path
         return self.spark.read.parquet(path)
 
@@ -217,6 +215,15 @@ class Model:
             self._cache[name] = df
         return self._cache[name]
 
+    def forget(self, *names: str) -> None:
+        """After a load: stored tables of these names (all without names) are built anew when next used."""
+        with _LOCK:
+            for key in list(_STORED):
+                if key[1] == self.sf_dir and (not names or key[2] in names):
+                    del _STORED[key]
+        for name in names or list(self._cache):
+            self._cache.pop(name, None)
+
     def store_all(self) -> None:
         """Compute and store every binding (the load step)."""
         for n in BINDINGS:

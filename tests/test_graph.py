@@ -82,7 +82,11 @@ def test_neighbourhood_components_connectors(spark, seed):
                     dt = _bfs(adj, v).get(t)
                     if dt is not None and dv + dt == dist[s][t]:
                         conn.add(v)
-    assert {r.id for r in G.shortest_path_connectors(g, sd).collect()} == conn
+    assert {r.id for r in G.shortest_path_connectors(g, sd, sd).collect()} == conn
+    # one source: paths from it to every seed
+    s = min(seeds)
+    one = {v for t in seeds if t in dist[s] for v, d in dist[s].items() if d + _bfs(adj, v).get(t, 99) == dist[s][t]}
+    assert {r.id for r in G.shortest_path_connectors(g, sd.filter(f"id = {s}"), sd).collect()} == one | {s}
 
 
 def test_connectors_path_example(spark):
@@ -99,11 +103,14 @@ def test_unreachable_component_excluded(spark):
     assert {r.id_artist for r in G.artist_ignore(g).collect()} == {2, 3}
 
 
-def test_eigenvector_star_and_single(spark):
-    nodes = spark.createDataFrame([(i,) for i in range(5)], "node long")
-    e = spark.createDataFrame([(0, i) for i in range(1, 5)] + [(i, 0) for i in range(1, 5)], "u long, v long")
-    x = {r.node: r.eigenvalue for r in G.eigenvector_centrality(nodes, e).collect()}
-    assert abs(x[0] - 1.0) < 1e-6 and all(abs(x[i] - 0.5) < 1e-6 for i in range(1, 5))
-    one = spark.createDataFrame([(7,)], "node long")
-    none = spark.createDataFrame([], "u long, v long")
-    assert G.eigenvector_centrality(one, none).first()["eigenvalue"] == 1.0
+def test_crowded_hub_stays_linear(spark):
+    members = 3000
+    g = _graph(spark, [(members, members + 1)], [(1, i) for i in range(members + 1)], members + 2, {0, members + 1})
+    sd = spark.createDataFrame([(0,), (members + 1,)], "id long")
+    assert {r.id for r in G.shortest_path_connectors(g, sd, sd).collect()} == {0, members, members + 1}
+
+
+def test_components_of_a_long_path(spark):
+    n = 5000
+    g = _graph(spark, [(i, i + 1) for i in range(n - 1)], [], n, {0})
+    assert [(r.component, r["count"]) for r in G.connected_components(g).groupBy("component").count().collect()] == [(0, n)]
