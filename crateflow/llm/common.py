@@ -33,15 +33,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame | None) -> None:
-    """Delete the table behind a ``written`` frame (a finished round of a loop)."""
-    path = getattr(df, "scratch", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def extended(df: DataFrame, kept: list[str], more: str) -> StructType:
     """The schema of ``kept`` columns of ``df`` and of ``more`` (DDL)."""
     return StructType([*(df.schema[c] for c in kept), *StructType.fromDDL(more)])

@@ -9,7 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from crateflow.llm import components, decontaminate, embedding_dedup, simhash, substring_dedup, warc
+from crateflow.llm import decontaminate, embedding_dedup, simhash, substring_dedup, warc
+from crateflow.operators import components
 
 SF = "/root/testdata/sf0.001"
 
