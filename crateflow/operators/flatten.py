@@ -16,11 +16,11 @@ CORRUPT = "_corrupt_record"
 
 _PERSON = "struct<id:bigint,name:string,role:string,resource_url:string>"
 RELEASE_SCHEMA = (
-    "id bigint, master_id bigint, title string, year int, uri string, country int, thumb string, "
+    "id bigint, master_id bigint, title string, year int, uri string, country string, thumb string, "
     "cover_image string, num_for_sale bigint, "
     "artists array<struct<id:bigint>>, "
     "labels array<struct<id:bigint,name:string,catno:string>>, "
-    "formats array<struct<name:string,qty:bigint>>, "
+    "formats array<struct<name:string,qty:string>>, "
     f"credits array<{_PERSON}>, "
     "genres array<string>, styles array<string>, "
     "videos array<struct<uri:string,title:string,duration:string>>, "
@@ -50,7 +50,7 @@ MASTER_SCHEMA = (
     "id bigint, main_release bigint, "
     "stats struct<community:struct<in_wantlist:bigint,in_collection:bigint>>, "
     "genres array<string>, styles array<string>, "
-    "tracklist array<struct<position:string,title:string,duration:string>>, "
+    f"tracklist array<struct<position:string,title:string,duration:string,extraartists:array<{_PERSON}>>>, "
     "videos array<struct<uri:string,title:string,duration:string>>, "
     f"{CORRUPT} string")
 
@@ -62,16 +62,40 @@ def parse(raw: DataFrame, schema: str, col: str = "raw") -> DataFrame:
     return raw.withColumn("doc", F.from_json(F.col(col), schema, opts))
 
 
+def _is_good():
+    return F.col(f"doc.{CORRUPT}").isNull() & F.col("doc.id").isNotNull()
+
+
 def good(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col(f"doc.{CORRUPT}").isNull() & F.col("doc.id").isNotNull())
+    return parsed.filter(_is_good())
 
 
 def quarantine(parsed: DataFrame, id_col: str = "id", col: str = "raw") -> DataFrame:
-    """Rows that did not parse, with their id and size; never dropped silently."""
-    bad = parsed.filter(F.col(f"doc.{CORRUPT}").isNotNull() | F.col("doc").isNull())
+    """Exactly the rows that ``good`` leaves out (no JSON, wrong types, no id), with their landing id and size."""
+    bad = parsed.filter(~F.coalesce(_is_good(), F.lit(False)))
     return bad.select(F.col(id_col).alias("payload_id"), F.length(col).alias("n_chars"))
 
 
+def one_per_id(parsed: DataFrame, key: str = "doc.id", col: str = "raw") -> DataFrame:
+    """One good document for each value of ``key``: of several, the one whose text has the least hash (then the least text).
+
+    Bad copies are taken out first, so they never displace a good one.
+    """
+    first = F.min_by(F.struct(*parsed.columns), F.struct(F.xxhash64(col), F.col(col)))
+    return good(parsed).groupBy(F.col(key).alias("__id")).agg(first.alias("__row")).select("__row.*")
+
+
+def parse_pages(pages: DataFrame, col: str = "raw") -> DataFrame:
+    """Pages of an artist's releases with ``items``, null where a page is not a list of releases."""
+    return pages.withColumn("items", F.from_json(col, ARTIST_PAGE_SCHEMA))
+
+
+def quarantine_pages(pages: DataFrame, col: str = "raw") -> DataFrame:
+    """E26 for pages: those whose text is not a list of releases, with artist, page and size."""
+    bad = parse_pages(pages, col).filter(F.col("items").isNull())
+    return bad.select("id_artist", "page", F.length(col).alias("n_chars"))
+
+
 def _stamp(df: DataFrame, dt_loaded: Column | None) -> DataFrame:
     return df if dt_loaded is None else df.withColumn("dt_loaded", dt_loaded)
 
@@ -170,9 +194,8 @@ def flatten_artist(parsed, dt_loaded=None):
 
 
 def flatten_artist_masters(pages: DataFrame, dt_loaded=None):
-    """Every page of an artist's releases (all pages, the last included)."""
-    p = pages.withColumn("items", F.from_json("raw", ARTIST_PAGE_SCHEMA))
-    x = p.select("id_artist", F.explode("items").alias("x"))
+    """Every page of an artist's releases (all pages, the last included); bad pages are in ``quarantine_pages``."""
+    x = parse_pages(pages).select("id_artist", F.explode("items").alias("x"))
     return _stamp(x.select(
         "id_artist", F.col("x.id").alias("id_master"), F.col("x.title").alias("title"),
         F.col("x.type").alias("type"), F.col("x.main_release").alias("id_main_release"),
@@ -254,10 +277,15 @@ def flatten_master_tracks(parsed, dt_loaded=None):
     return flatten_tracks(parsed, dt_loaded, key="id_master")
 
 
+def flatten_master_track_artists(parsed, dt_loaded=None):
+    return flatten_track_artists(parsed, dt_loaded, key="id_master")
+
+
 def flatten_master_videos(parsed, dt_loaded=None):
     return flatten_videos(parsed, dt_loaded, key="id_master")
 
 
+# the first table of each entity says which ids are loaded; it is written last
 RELEASE_SINKS = {
     "release": flatten_release, "release_artists": flatten_release_artists,
     "release_labels": flatten_release_labels, "release_formats": flatten_release_formats,
@@ -270,3 +298,18 @@ ARTIST_SINKS = {
     "artist_aliases": flatten_artist_aliases, "artist_members": flatten_artist_members,
     "artist_urls": flatten_artist_urls,
 }
+MASTER_SINKS = {
+    "master": lambda parsed, dt=None: _stamp(good(parsed).select(F.col("doc.id").alias("id_master"),
+                                                                 F.col("doc.main_release").alias("id_main_release")), dt),
+    "master_genres": flatten_master_genres, "master_styles": flatten_master_styles, "master_stats": flatten_master_stats,
+    "master_tracks": flatten_master_tracks, "master_track_artists": flatten_master_track_artists,
+    "master_videos": flatten_master_videos,
+}
+ITEM_SINKS = {"collection_items": flatten_collection_item}
+# entity -> (payload schema, key of its tables, the same in the document, sinks, tables that every load appends to)
+ENTITIES = {
+    "release": (RELEASE_SCHEMA, "id_release", "doc.id", RELEASE_SINKS, {"release_stats"}),
+    "artist": (ARTIST_SCHEMA, "id_artist", "doc.id", ARTIST_SINKS, set()),
+    "master": (MASTER_SCHEMA, "id_master", "doc.id", MASTER_SINKS, {"master_stats"}),
+    "item": (ITEM_SCHEMA, "id_instance", "doc.instance_id", ITEM_SINKS, set()),
+}

@@ -15,6 +15,7 @@ from crateflow.plans.registry import register
 from crateflow.plans.sqlparts import canon
 from crateflow.session import scratch_path
 from crateflow.sources import io
+from crateflow.operators.load import read_loaded
 from crateflow.sources import payloads as PL
 
 API = PL.API
@@ -60,7 +61,9 @@ def e3(m):
     return FL.flatten_collection_item(item_parsed(m))
 
 
-_REL = "SELECT id_release, id_master, title, url_thumbnail, url_cover, year, url_release, country FROM release"
+# documents give country and format quantity as text
+_REL = """SELECT id_release, id_master, title, url_thumbnail, url_cover, year, url_release,
+CAST(country AS VARCHAR) AS country FROM release"""
 
 
 @register("e4_flatten_release", _REL)
@@ -78,7 +81,8 @@ def e6(m):
     return FL.flatten_release_labels(release_parsed(m))
 
 
-@register("e7_flatten_release_formats", "SELECT id_release, name_format, qty_format FROM release_formats")
+@register("e7_flatten_release_formats", """SELECT id_release, name_format,
+CAST(qty_format AS VARCHAR) AS qty_format FROM release_formats""")
 def e7(m):
     return FL.flatten_release_formats(release_parsed(m))
 
@@ -187,10 +191,31 @@ def e22c(m):
     return FL.flatten_master_tracks(master_parsed(m))
 
 
+@register("e22f_flatten_master_track_artists", """SELECT mm.id_master, x.name_artist, x.role, x.id_artist, x.api_artist, x.position
+FROM master_main mm JOIN release_track_artists x ON x.id_release = mm.id_main_release
+JOIN release_tracks t ON t.id_release = x.id_release AND t.position = x.position""")
+def e22f(m):
+    return FL.flatten_master_track_artists(master_parsed(m))
+
+
 @register("e23_incremental_load", f"{_REL} WHERE id_release NOT IN (SELECT id_release FROM collection_items)")
 def e23(m):
     loaded = m.t("collection_items").select("id_release")
-    return L.incremental_release_load(_payload(m, "release", PL.release_payloads), loaded)["release"]
+    return L.incremental_load(_payload(m, "release", PL.release_payloads), loaded)["release"]
+
+
+@register("e23b_incremental_load_artist", """SELECT id_artist, name_artist, profile FROM artist
+ANTI JOIN artist_images USING (id_artist)""")
+def e23b(m):
+    loaded = m.t("artist_images").select("id_artist")
+    return L.incremental_load(_payload(m, "artist", PL.artist_payloads), loaded, "artist")["artist"]
+
+
+@register("e23c_incremental_load_master", """SELECT DISTINCT r.id_master, g.name_genre FROM release r
+JOIN release_genres g ON g.id_release = r.id_release WHERE r.id_master NOT IN (SELECT id_master FROM collection_items)""")
+def e23c(m):
+    loaded = m.t("collection_items").select("id_master")
+    return L.incremental_load(_payload(m, "master", PL.master_payloads), loaded, "master")["master_genres"]
 
 
 @register("e26_quarantine_bad_payloads", """SELECT page_id AS payload_id, length(html) AS n_chars FROM pages
@@ -202,30 +227,47 @@ def e26(m):
 
 
 def _counts_sql() -> str:
-    parts = {
-        "release": "release", "release_artists": "release_artists", "release_labels": "release_labels",
-        "release_formats": "release_formats", "release_credits": "release_credits",
-        "release_stats": "release_stats", "release_genres": "release_genres", "release_styles": "release_styles",
-        "release_tracks": "release_tracks", "release_videos": "release_videos",
-    }
-    sel = [f"SELECT '{k}' AS \"table\", COUNT(*) AS qty_rows FROM {v}" for k, v in parts.items()]
-    sel.append("""SELECT 'release_track_artists', COUNT(*) FROM release_tracks t JOIN release_track_artists ta
-ON ta.id_release = t.id_release AND ta.position = t.position""")
-    sel.append("SELECT '_quarantine', 0")
+    known = "SEMI JOIN artist USING (id_artist)"
+    main = "FROM master_main mm JOIN {0} x ON x.id_release = mm.id_main_release"
+    mine = "FROM (SELECT DISTINCT r.id_master, x.{1} FROM release r JOIN {0} x ON x.id_release = r.id_release)"
+    played = "FROM release_tracks t JOIN release_track_artists ta ON ta.id_release = t.id_release AND ta.position = t.position"
+    counts = {t: f"FROM {t}" for t in (
+        "collection_items", "release", "release_artists", "release_labels", "release_formats", "release_credits", "release_stats",
+        "release_genres", "release_styles", "release_tracks", "release_videos", "artist")}
+    counts |= {t: f"FROM {t} {known}" for t in ("artist_images", "artist_groups", "artist_aliases", "artist_members", "artist_urls")}
+    counts |= {"release_track_artists": played, "master": "FROM master_main", "master_tracks": main.format("release_tracks"),
+               "master_videos": main.format("release_videos"), "master_genres": mine.format("release_genres", "name_genre"),
+               "master_styles": mine.format("release_styles", "name_style"),
+               "master_stats": "FROM (SELECT DISTINCT r.id_master FROM release r SEMI JOIN release_stats s ON s.id_release = r.id_release)",
+               "master_track_artists": f"{played} JOIN master_main mm ON mm.id_main_release = t.id_release"}
+    sel = [f"SELECT '{t}' AS \"table\", COUNT(*) AS qty_rows {source}" for t, source in counts.items()]
+    sel += [f"SELECT '_quarantine_{e}', 0" for e in FL.ENTITIES]
     return "\nUNION ALL ".join(sel)
 
 
+def _landed(m):
+    return {"item": _payload(m, "item", PL.item_payloads), "release": _payload(m, "release", PL.release_payloads),
+            "artist": _payload(m, "artist", PL.artist_payloads), "master": _payload(m, "master", PL.master_payloads)}
+
+
 @register("e27_ingest_all", _counts_sql())
 def e27(m):
-    target = scratch_path(m.spark, "ingest")
-    return L.ingest_all(_payload(m, "release", PL.release_payloads), target)
+    return L.ingest_all(_landed(m), scratch_path(m.spark, "ingest"))
+
+
+@register("e25_ingest_without_masters", """SELECT 'artist' AS "table", COUNT(*) AS qty_rows FROM artist
+UNION ALL SELECT 'artist_urls', COUNT(*) FROM artist_urls SEMI JOIN artist USING (id_artist)""")
+def e25(m):
+    landed = {k: v for k, v in _landed(m).items() if k in ("artist", "master")}
+    out = L.ingest_all(landed, scratch_path(m.spark, "ingest"), process_masters=False)
+    return out.filter(F.col("table").isin("artist", "artist_urls") | F.col("table").startswith("master"))
 
 
 # ---- table management ---------------------------------------------------------------
 
 @register("t1_scan_table", "SELECT * FROM collection_items")
 def t1(m):
-    return io.scan_table(m.spark, m.t("collection_items").inputFiles()[0].rsplit("/", 1)[0])
+    return io.scan_table(m.spark, m.path("collection_items"))
 
 
 _T2 = "SELECT name_format, COUNT(*) AS qty_rows FROM {release_formats} GROUP BY name_format"
@@ -280,8 +322,8 @@ def t15(m):
 
 @register("s1_stream_ingest", _REL)
 def s1(m):
-    """Land the release payloads as files (two drops), stream them in twice
-    (the replay must add nothing) and read the release table back."""
+    """Land the release payloads as files (two drops), stream them in, land all of
+    them once more (the replay must add nothing) and read the release table back."""
     from crateflow.streaming.ingest import stream_ingest
 
     base = scratch_path(m.spark, "stream")
@@ -290,9 +332,9 @@ def s1(m):
     payloads.filter(F.pmod("id", F.lit(2)) == 0).write.parquet(f"{landing}/drop=1")
     stream_ingest(m.spark, landing, target, ckpt, max_files_per_trigger=4)
     payloads.filter(F.pmod("id", F.lit(2)) == 1).write.parquet(f"{landing}/drop=2")
-    payloads.limit(100).write.parquet(f"{landing}/drop=3")  # a replayed slice: must add nothing
+    payloads.write.parquet(f"{landing}/drop=3")
     stream_ingest(m.spark, landing, target, ckpt, max_files_per_trigger=4)
-    return m.spark.read.parquet(f"{target}/release").drop("dt_loaded")
+    return read_loaded(m.spark, target, "release").drop("dt_loaded")
 
 
 @register("e22d_flatten_master_styles", """SELECT DISTINCT r.id_master, s.name_style FROM release r
@@ -317,6 +359,6 @@ def e2(m):
     """Full refresh: a first load, then a second complete load replaces it."""
     path = f"{scratch_path(m.spark, 'collection')}/collection_items"
     items = FL.flatten_collection_item(item_parsed(m))
-    L.refresh_table(items.limit(10), path)
+    L.refresh_table(items.withColumn("rating", F.col("rating") + 1), path)
     L.refresh_table(items, path)
     return m.spark.read.parquet(path)

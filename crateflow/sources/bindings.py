@@ -215,6 +215,11 @@ class Model:
             self._cache[name] = df
         return self._cache[name]
 
+    def path(self, name: str) -> str:
+        """Where the stored table of a binding lies."""
+        self.t(name)
+        return _STORED[self.spark.sparkContext.applicationId, self.sf_dir, name]
+
     def forget(self, *names: str) -> None:
         """After a load: stored tables of these names (all without names) are built anew when next used."""
         with _LOCK:

@@ -7,6 +7,8 @@ log table that says which version is current.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -24,9 +26,23 @@ def sql_query(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(text, **tables)
 
 
+def execute_sql(spark: SparkSession, statement: str) -> None:
+    """One DDL or DML statement, run at once."""
+    spark.sql(statement)
+
+
+_STATEMENT = re.compile(r"""(?:[^;'"`-]|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|-)+""")
+
+
+def statements(script: str) -> list[str]:
+    """The statements of a script; a ';' inside a literal, a quoted name or a comment does not end one."""
+    found = (re.sub(r"(?m)^\s*--[^\n]*$", "", s).strip() for s in _STATEMENT.findall(script))
+    return [s for s in found if s]
+
+
 def run_script(spark: SparkSession, script: str) -> list[DataFrame]:
-    """T4: run a ';'-separated SQL script statement by statement."""
-    return [spark.sql(s) for s in (x.strip() for x in script.split(";")) if s]
+    """T4: run a SQL script statement by statement."""
+    return [spark.sql(s) for s in statements(script)]
 
 
 def store_append(df: DataFrame, path: str) -> None:
@@ -50,6 +66,21 @@ def table_exists(spark: SparkSession, path_or_name: str) -> bool:
         return False
 
 
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a catalog table if it exists."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def create_view(df: DataFrame, name: str) -> None:
+    """A temporary view, replaced if it exists."""
+    df.createOrReplaceTempView(name)
+
+
+def view_exists(spark: SparkSession, name: str) -> bool:
+    """T10."""
+    return spark.catalog.tableExists(name)
+
+
 def drop_view(spark: SparkSession, name: str) -> bool:
     """T10."""
     return spark.catalog.dropTempView(name)

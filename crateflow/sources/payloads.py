@@ -91,6 +91,25 @@ def artist_payloads(m) -> DataFrame:
     return doc.select("id", F.to_json(F.struct(*doc.columns)).alias("raw"))
 
 
+SECOND_HOP = 1_000_000  # a referenced artist x has one member, SECOND_HOP + x
+
+
+def referenced_artist_payloads(m, ids: DataFrame) -> DataFrame:
+    """(id, raw) of artists that are referenced but not loaded, over two hops.
+
+    ``ids`` (id_artist): the artists referenced by what is loaded. Each of them has a member that only its
+    document names. Every third id has landed no document, so it stays missing.
+    """
+    first = ids.select(F.col("id_artist").alias("id")).distinct()
+    member = F.array(F.struct((F.col("id") + SECOND_HOP).alias("id"), F.lit("member").alias("name"), F.lit(True).alias("active")))
+    second = first.select((F.col("id") + SECOND_HOP).alias("id"))
+    docs = first.withColumn("members", member).unionByName(second.withColumn("members", F.lit(None).cast(
+        "array<struct<id:bigint,name:string,active:boolean>>")))
+    docs = docs.filter(F.pmod("id", F.lit(3)) != 0).withColumn("name", F.concat(F.lit("Artist "), F.col("id").cast("string")))
+    urls = F.array(F.concat(F.lit("https://example.org/"), F.col("id").cast("string")))
+    return docs.select("id", F.to_json(F.struct("id", "name", "members", urls.alias("urls"))).alias("raw"))
+
+
 def artist_release_pages(m) -> DataFrame:
     """(id_artist, page, raw) — paged artist releases, known artists only.
 
@@ -137,8 +156,12 @@ def master_payloads(m) -> DataFrame:
          .groupBy("id_master").agg(F.collect_list("name_genre").alias("genres")))
     s = (rel.join(m.t("release_styles"), "id_release").select("id_master", "name_style").distinct()
          .groupBy("id_master").agg(F.collect_list("name_style").alias("styles")))
-    mt = main.join(m.t("release_tracks").withColumnRenamed("id_release", "id_main_release"), "id_main_release")
-    tracks = _nest(mt, "id_master", "tracklist", "position", "title", "duration")
+    extra = m.t("release_track_artists").groupBy("id_release", "position").agg(F.collect_list(F.struct(
+        F.col("id_artist").alias("id"), F.col("name_artist").alias("name"), "role",
+        F.col("api_artist").alias("resource_url"))).alias("extraartists"))
+    mt = main.join(m.t("release_tracks").join(extra, ["id_release", "position"], "left")
+                   .withColumnRenamed("id_release", "id_main_release"), "id_main_release")
+    tracks = _nest(mt, "id_master", "tracklist", "position", "title", "duration", "extraartists")
     mv = main.join(m.t("release_videos").withColumnRenamed("id_release", "id_main_release"), "id_main_release")
     videos = _nest(mv, "id_master", "videos", F.col("url_video").alias("uri"), "title", "duration")
     doc = main.select(F.col("id_master").alias("id"), F.col("id_main_release").alias("main_release"))

@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from crateflow.operators import flatten as FL
-from crateflow.operators.load import incremental_release_load, new_keys_only
+from crateflow.operators import load as L
+from crateflow.operators.load import incremental_load, new_keys_only
 from crateflow.session import scratch_path
 from crateflow.sources import io
 
@@ -44,7 +45,7 @@ def test_quarantine_counts_bad_rows(spark):
 def test_incremental_load_skips_loaded(spark):
     payloads = _payloads(spark)
     loaded = spark.createDataFrame([(1,)], "id_release long")
-    out = incremental_release_load(payloads, loaded)
+    out = incremental_load(payloads, loaded)
     assert [r.id_release for r in out["release"].collect()] == [2]
     assert out["release_stats"].count() == 2  # stats are appended on every load
     dup = payloads.unionByName(payloads)
@@ -66,5 +67,81 @@ def test_snapshots_and_helpers(spark):
     a.createOrReplaceTempView("crateflow_tmp_view")
     assert io.table_exists(spark, "crateflow_tmp_view")
     assert io.drop_view(spark, "crateflow_tmp_view")
+    io.create_view(a, "crateflow_tmp_view")
+    assert io.view_exists(spark, "crateflow_tmp_view") and io.drop_view(spark, "crateflow_tmp_view")
+    assert not io.view_exists(spark, "crateflow_tmp_view")
+    io.execute_sql(spark, f"CREATE TABLE crateflow_tmp (k INT) USING parquet LOCATION '{root}/sql'")
+    io.execute_sql(spark, "INSERT INTO crateflow_tmp VALUES (5)")
+    assert spark.table("crateflow_tmp").collect()[0].k == 5
+    io.drop_table(spark, "crateflow_tmp")
+    io.drop_table(spark, "crateflow_tmp")
+    assert not io.table_exists(spark, "crateflow_tmp")
+    io.store_append(a, f"{root}/rows")
+    io.store_append(b, f"{root}/rows")
+    assert spark.read.parquet(f"{root}/rows").count() == 3
+    io.store_replace(a, f"{root}/rows")
+    assert spark.read.parquet(f"{root}/rows").count() == 1
     out = io.sql_query(spark, "SELECT k, v FROM {t} WHERE k = 2", t=b)
     assert out.collect()[0]["v"] == "z"
+
+
+def test_script_statements():
+    script = "SELECT ';' AS a; -- no; end\nSELECT \";\" , `;x`;\n;  SELECT 'it\\'s; me' - 1"
+    assert io.statements(script) == ["SELECT ';' AS a", "SELECT \";\" , `;x`", "SELECT 'it\\'s; me' - 1"]
+
+
+def _mixed(spark):
+    rows = [(1, '{"id": 1, "title": "A", "country": "Germany", "formats": [{"name": "Vinyl", "qty": "1"}], "artists": [{"id": 3}]}'),
+            (1, "{bad copy"), (2, '{"id": 2, "title": "B", "country": 5, "artists": [{"id": 4}], "community": {"have": 1}}'),
+            (5, "{}"), (6, '{"title": "no id"}'), (7, "nothing"), (8, None)]
+    return spark.createDataFrame(rows, "id long, raw string")
+
+
+def test_nothing_is_lost_between_good_and_quarantine(spark):
+    p = FL.parse(_mixed(spark), FL.RELEASE_SCHEMA)
+    assert FL.good(p).count() + FL.quarantine(p).count() == 7
+    assert sorted(r.payload_id for r in FL.quarantine(p).collect()) == [1, 5, 6, 7, 8]
+    head = {r.id_release: r.country for r in FL.flatten_release(FL.one_per_id(p)).collect()}
+    assert head == {1: "Germany", 2: "5"}  # the bad copy does not displace the good one
+    pages = spark.createDataFrame([(1, 0, '[{"id": 5}]'), (1, 1, "{oops"), (2, 0, None)], "id_artist long, page long, raw string")
+    assert FL.flatten_artist_masters(pages).count() == 1
+    assert sorted((r.id_artist, r.page) for r in FL.quarantine_pages(pages).collect()) == [(1, 1), (2, 0)]
+
+
+def test_loads_are_idempotent(spark):
+    target = scratch_path(spark, "ingest-test")
+    first = {r.table: r.qty_rows for r in L.ingest_all({"release": _mixed(spark)}, target, 1).collect()}
+    assert first["release"] == 2 and first["release_artists"] == 2 and first["_quarantine_release"] == 5
+    again = {r.table: r.qty_rows for r in L.ingest_all({"release": _mixed(spark)}, target, 1).collect()}
+    assert again == first  # the same step repeated replaces itself
+    more = {r.table: r.qty_rows for r in L.ingest_all({"release": _mixed(spark)}, target, 2).collect()}
+    stats = {"release_stats", "_quarantine_release"}
+    assert {t: n for t, n in more.items() if t not in stats} == {t: n for t, n in first.items() if t not in stats}
+    assert more["release_stats"] == 2 * first["release_stats"]
+
+
+def test_a_stream_that_fails_half_way_goes_on_whole(spark, monkeypatch):
+    import pytest
+
+    from crateflow.streaming.ingest import stream_ingest
+
+    base = scratch_path(spark, "stream-test")
+    _mixed(spark).write.parquet(f"{base}/landing/drop=1")
+    tracks, calls = FL.RELEASE_SINKS["release_labels"], []
+
+    def broken(parsed, dt=None):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("disk full")
+        return tracks(parsed, dt)
+
+    monkeypatch.setitem(FL.RELEASE_SINKS, "release_labels", broken)
+    args = (spark, f"{base}/landing", f"{base}/target", f"{base}/_checkpoint")
+    with pytest.raises(Exception, match="disk full"):
+        stream_ingest(*args)
+    stream_ingest(*args)
+    _mixed(spark).write.parquet(f"{base}/landing/drop=2")
+    stream_ingest(*args)
+    read = lambda t: L.read_loaded(spark, f"{base}/target", t)
+    assert sorted(r.id_release for r in read("release").collect()) == [1, 2]
+    assert sorted(r.id_artist for r in read("release_artists").collect()) == [3, 4]
