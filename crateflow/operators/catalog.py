@@ -337,14 +337,14 @@ def genre_style_matrix(m) -> DataFrame:
     # inner join with the artists: a release without artists drops out
     has_artist = m.t("release_artists").select("id_release").distinct()
     combos = combos.join(has_artist, "id_release", "left_semi")
-    n_rel = combos.groupBy("name_genre", "name_style").agg(
-        F.count_distinct("id_release").alias("qty_collection_items"))
-    ga = (combos.join(m.t("release_artists").select("id_release", "id_artist"), "id_release")
-          .select("name_genre", "name_style", "id_artist").distinct()
-          .groupBy("name_genre", "name_style").agg(F.count(F.lit(1)).alias("qty_collected_artists")))
-    return n_rel.join(ga, [n_rel["name_genre"].eqNullSafe(ga["name_genre"]),
-                           n_rel["name_style"].eqNullSafe(ga["name_style"])]).select(
-        n_rel["name_genre"], n_rel["name_style"], "qty_collection_items", "qty_collected_artists")
+    # releases and artists of a combination counted in one aggregation
+    artists = combos.join(m.t("release_artists").select("id_release", "id_artist"), "id_release")
+    members = (combos.select("name_genre", "name_style", F.lit(0).alias("kind"), F.col("id_release").alias("id"))
+               .unionByName(artists.select("name_genre", "name_style", F.lit(1).alias("kind"), F.col("id_artist").alias("id")))
+               .distinct())
+    return members.groupBy("name_genre", "name_style").agg(
+        F.count(F.when(F.col("kind") == 0, 1)).alias("qty_collection_items"),
+        F.count(F.when(F.col("kind") == 1, 1)).alias("qty_collected_artists"))
 
 
 def nested_to_text(df: DataFrame, col: str, fields: list[str]) -> DataFrame:

@@ -126,11 +126,15 @@ def rel_release_role(m, roles: DataFrame | None = None, artist_ids: DataFrame |
     """D5e: artist credited on its own release with an edge role.
 
     As in the source, both ends are the same artist (self-loops); the graph
-    drops loops later. ``artist_ids`` restricts both inputs first.
+    drops loops later. ``artist_ids`` restricts both inputs first. Without a
+    role dictionary the keywords are matched on the credits themselves, so
+    nothing is joined on the (hot) role text.
     """
-    roles = roles if roles is not None else role_classification(m)
-    edge_roles = roles.filter(F.col("as_edge") == 1).select("role")
-    credits = m.t("release_credits").select("id_release", "id_artist", "role").join(edge_roles, "role", "left_semi")
+    credits = m.t("release_credits").select("id_release", "id_artist", "role")
+    if roles is None:
+        credits = credits.filter(F.col("role").rlike(role_pattern()))
+    else:
+        credits = credits.join(roles.filter(F.col("as_edge") == 1).select("role"), "role", "left_semi")
     ra = m.t("release_artists").select("id_release", "id_artist")
     if artist_ids is not None:
         ra = ra.join(artist_ids.select("id_artist"), "id_artist", "left_semi")
