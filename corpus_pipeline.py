@@ -65,7 +65,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text decoded from them."""
-    out = bpe.encode_decode(docs.select("doc_id", "text"), tokenizer_path())
+    out = bpe.encode_decode(docs, tokenizer_path(), keep=["doc_id"])
     return out.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "token_ids")

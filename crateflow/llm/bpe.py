@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from crateflow.llm.common import extended, slices, utf8_buffers, word_hashes
+from crateflow.llm.common import extended, slices, utf8_buffers, with_text, word_hashes
 
 #: Fixed value: the published pre-token pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -69,7 +68,7 @@ class _Cache:
 class ByteBpe:
     """Encoder and decoder of one vocabulary file in the tokenizers library's JSON form."""
 
-    CACHED_UNITS = 500_000  # entries in each of the two generations of the cache
+    CACHED_UNITS = 100_000  # entries in each of the two generations of the cache
     LONG = 48  # bytes; a longer word goes through the loops that have no lockstep
 
     def __init__(self, source: bytes):
@@ -326,7 +325,7 @@ class ByteBpe:
         begin, size = begin[back], size[back]
         return self.cache.ids[ragged(begin, size)], size
 
-    def encode_buffer(self, data: np.ndarray, offsets: np.ndarray, window: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    def encode_buffer(self, data: np.ndarray, offsets: np.ndarray, window: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids of each row) of texts in one buffer, window by window."""
         ids, counts, a = [], np.zeros(len(offsets) - 1, dtype=np.int64), 0
         while a < len(data):
@@ -409,8 +408,8 @@ def shared_model(spark, path: str, most: int = 64 << 20):
 
 
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text", special: bool = True,
-                  ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:
-    """``docs`` with the token ids (array<int>) of each whole text and the text decoded from them.
+                  ids_col: str = "token_ids", decoded_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with the token ids (array<int>) of each whole text and the text decoded from them.
 
     Defined cases: a null or empty text has no ids and decodes to an empty
     text; invalid UTF-8 is read with replacement characters; the new columns
@@ -418,13 +417,13 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", special: b
     rows are encoded each; an empty table gives no rows.
     """
     model = shared_model(docs.sparkSession, path)
-    kept = [c for c in docs.columns if c not in (ids_col, decoded_col)]
-    carried = docs.select(*kept, F.col(text_col).cast("binary").alias("__own_text"))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (ids_col, decoded_col)]
+    carried, name = with_text(docs, kept, text_col)
 
     def run(batches):
         bpe = model()
-        for part in slices(batches, "__own_text", 2 << 20):
-            flat, counts = bpe.encode_texts(part.column("__own_text"), special)
+        for part in slices(batches, name, 1 << 20):
+            flat, counts = bpe.encode_texts(part.column(name), special)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             decoded = [bpe.decode(flat[i:j]) for i, j in zip(offsets.tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from crateflow.session import scratch_path
 
@@ -42,10 +44,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_text(df: DataFrame, kept: list[str], text_col: str) -> tuple[DataFrame, str]:
+    """``kept`` columns and the text, and the text's name there: a string column that is kept is not sent twice."""
+    if text_col in kept and df.schema[text_col].dataType == StringType():
+        return df.select(*kept), text_col
+    return df.select(*kept, F.col(text_col).cast("string").alias("__own_text")), "__own_text"
+
+
 # ---- Arrow side ----------------------------------------------------------------------
 
 def slices(batches, column: str, max_bytes: int):
-    """Cut record batches so that ``column`` holds about ``max_bytes`` at most (one row at least)."""
+    """Cut record batches so that ``column`` holds about ``max_bytes`` at most (one row at least).
+
+    A Python worker lives on after its task, next to the executor's heap:
+    memory that is free by then goes back to the system.
+    """
     for batch in batches:
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
         block = np.cumsum(sizes) // max_bytes
@@ -53,6 +66,21 @@ def slices(batches, column: str, max_bytes: int):
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, where the allocator can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def raw_texts(column: pa.Array) -> list[bytes | None]:
+    """The bytes of each text, valid UTF-8 or not."""
+    return column.cast(pa.binary()).to_pylist()
 
 
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +139,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, block: int = 1 << 20,
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, block: int = 1 << 18,
                 salt: int = 0) -> np.ndarray:
     """A 64-bit hash for each word, by prefix sums of a polynomial over the bytes.
 

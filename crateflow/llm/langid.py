@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crateflow.llm.common import extended, slices
+from crateflow.llm.common import extended, raw_texts, slices, with_text
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -104,20 +104,20 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", m
     """
     new = (pred_col, score_col, accepted_col)
     kept = [c for c in docs.columns if c not in new]
+    carried, text = with_text(docs, kept, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most languages x dictionary bytes
 
     def run(batches):
         scorer = Scorer(sent.value)
-        for part in slices(batches, "__own_text", 4 << 20):
-            found = [scorer.predict(raw) for raw in part.column("__own_text").to_pylist()]
+        for part in slices(batches, text, 1 << 20):
+            found = [scorer.predict(raw) for raw in raw_texts(part.column(text))]
             names, scores = zip(*found)
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
                  pa.array([n != UNKNOWN and s >= min_margin for n, s in found], pa.bool_())], names=[*kept, *new])
 
     schema = extended(docs, kept, f"`{pred_col}` string, `{score_col}` double, `{accepted_col}` boolean")
-    return (docs.select(*kept, F.col(text_col).cast("string").cast("binary").alias("__own_text"))
-            .mapInArrow(run, schema))
+    return carried.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

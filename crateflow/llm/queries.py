@@ -178,7 +178,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    out = bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
     return out.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

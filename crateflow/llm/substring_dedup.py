@@ -91,7 +91,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(_unpack(blob, 8).view(np.int64).reshape(4, -1), axis=1)
 
 
-def _sender(length: int, buckets: int, slice_bytes: int, block: int = 1 << 20):
+def _sender(length: int, buckets: int, slice_bytes: int, block: int = (1 << 20) - 64):
     """Arrow batches (doc_id, version, text) -> packed windows; bucket -1 - s holds ranges for shard s that the slice settled."""
 
     def send(batches):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crateflow.llm.bpe import ByteBpe, shared_model
-from crateflow.llm.common import extended, slices, utf8_buffers
+from crateflow.llm.common import extended, raw_texts, slices, utf8_buffers, with_text
 
 EDITS = "array<struct<start:int,stop:int,insert:string>>"
 
@@ -141,7 +141,7 @@ def _leaves(bpe: ByteBpe, column: pa.Array, per_leaf: int):
 
 def _valid(column: pa.Array) -> pa.Array:
     """Texts as valid UTF-8, nulls as empty ones."""
-    return pa.array([(t or b"").decode("utf-8", "replace") for t in column.to_pylist()], pa.large_string())
+    return pa.array([(t or b"").decode("utf-8", "replace") for t in raw_texts(column)], pa.large_string())
 
 
 def index(docs: DataFrame, path: str, text_col: str = "text", per_leaf: int = 16) -> DataFrame:
@@ -153,11 +153,12 @@ def index(docs: DataFrame, path: str, text_col: str = "text", per_leaf: int = 16
     model = shared_model(docs.sparkSession, path)
     new = ("leaf_chars", "leaf_tokens", "n_tokens")
     kept = [c for c in docs.columns if c not in new]
+    carried, name = with_text(docs, kept, text_col)
 
     def run(batches):
         bpe = model()
-        for part in slices(batches, "__own_text", 2 << 20):
-            n, chars, tokens = _leaves(bpe, _valid(part.column("__own_text")), per_leaf)
+        for part in slices(batches, name, 1 << 20):
+            n, chars, tokens = _leaves(bpe, _valid(part.column(name)), per_leaf)
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             total = np.concatenate([[0], np.cumsum(tokens)])
             lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(np.int32))) for x in (chars, tokens)]
@@ -165,7 +166,7 @@ def index(docs: DataFrame, path: str, text_col: str = "text", per_leaf: int = 16
                                               pa.array(total[offsets[1:]] - total[offsets[:-1]])], names=[*kept, *new])
 
     schema = extended(docs, kept, "leaf_chars array<int>, leaf_tokens array<int>, n_tokens bigint")
-    return docs.select(*kept, F.col(text_col).cast("string").cast("binary").alias("__own_text")).mapInArrow(run, schema)
+    return carried.mapInArrow(run, schema)
 
 
 def with_edits(state: DataFrame, edits: DataFrame, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
@@ -194,7 +195,7 @@ def apply_edits(state: DataFrame, path: str, text_col: str = "text", edits_col:
 
     def run(batches):
         bpe = model()
-        for part in slices(batches, "__own_text", 2 << 20):
+        for part in slices(batches, "__own_text", 1 << 20):
             docs, where, regions = [], [], []
             columns = (part.column(c).to_pylist() for c in ("__own_text", "leaf_chars", "leaf_tokens", edits_col))
             for text, chars, tokens, edits in zip(*columns):
