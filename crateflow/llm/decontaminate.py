@@ -25,7 +25,7 @@ from crateflow.llm.common import slices, utf8_buffers, window_hashes, word_hashe
 #: ASCII other than letters and digits becomes a space.
 _FOLD = np.frombuffer(bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)), dtype=np.uint8)
 _FILTER_BITS = 24
-_HIT = "doc_id bigint, version bigint, item_id bigint, item_words int, matched int, coverage double"
+_HIT = "doc_id bigint, version bigint, item_id bigint, item_words int, matched int, coverage double, copies int"
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +94,8 @@ def _runs(i: np.ndarray, j: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
 class Items:
     """One block of the benchmark: seeds of each length in use, sorted, with their places."""
 
-    def __init__(self, ids: list, texts: list, min_match: int):
-        self.ids, self.min_match = ids, min_match
+    def __init__(self, ids: list, texts: list, copies: list, min_match: int):
+        self.ids, self.copies, self.min_match = ids, copies, min_match
         words, rows = _words(pa.array(texts, pa.string()))
         self.size = np.diff(rows)
         self.tables = []
@@ -164,10 +164,10 @@ def _finder(items: Items, threshold: float, block: int = 1 << 18):
                     marked = sum(n for _, _, n in tile(starts, sizes, length))
                     size = int(items.size[item])
                     if marked >= threshold * size:
-                        out.append((doc[row], version[row], items.ids[item], size, marked, marked / size))
-            names = ["doc_id", "version", "item_id", "item_words", "matched", "coverage"]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-            columns = list(zip(*out)) if out else [[]] * 6
+                        out.append((doc[row], version[row], items.ids[item], size, marked, marked / size, items.copies[item]))
+            names = ["doc_id", "version", "item_id", "item_words", "matched", "coverage", "copies"]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
+            columns = list(zip(*out)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return run
@@ -200,17 +200,19 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     spark = docs.sparkSession
     own = _prepared(docs, id_col, text_col)
     items = benchmark.select(F.col(item_id_col).cast("bigint").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    items = items.where("text is not null").withColumn("bytes", F.octet_length("text"))
+    # equal rows of the benchmark are tiled once and reported as often as they are there
+    items = items.where("text is not null").groupBy("item_id", "text").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    items = written(items.withColumn("bytes", F.octet_length("text")), "benchmark-items")
     total, largest = items.agg(F.sum("bytes"), F.max("bytes")).first()
     blocks = max(1, -(-(total or 0) // block_bytes))
     by = F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks))
     out = None
     for b in range(blocks):
-        rows = items.where(by == b).select("item_id", "text").collect()  # about block_bytes
-        sent = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+        rows = items.where(by == b).select("item_id", "text", "copies").collect()  # about block_bytes
+        sent = spark.sparkContext.broadcast(tuple([r[c] for r in rows] for c in ("item_id", "text", "copies")))
         part = own.mapInArrow(_task(sent, min_match, threshold), _HIT)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumn("copies", F.explode(F.array_repeat(F.lit(True), F.col("copies")))).drop("copies")
 
 
 def _task(sent, min_match: int, threshold: float):

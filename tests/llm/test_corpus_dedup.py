@@ -1,5 +1,6 @@
 """Substring, SimHash and embedding dedup, components, decontamination and WARC against plain versions."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -231,6 +232,17 @@ def test_tiling_equals_the_plain_version(spark):
     assert decontaminate.contaminated_pairs(d.limit(0), b).count() == 0 and decontaminate.contaminated_pairs(d, b.limit(0)).count() == 0
 
 
+def test_repeated_benchmark_rows_are_sent_once_and_all_reported(spark):
+    text = "one two three four five six seven"
+    items = [(1, text)] * 500 + [(2, text), (None, text), (None, text), (3, "another text that no document holds at all")]
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    d = spark.createDataFrame([(7, "x " + text + " y"), (7, "x " + text + " y"), (8, "nothing here")], "doc_id bigint, text string")
+    for options in ({}, {"block_bytes": 40}):
+        got = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(d, b, **options).collect())
+        assert got == {(7, 1): 1000, (7, 2): 2, (7, None): 4}
+        assert [r.doc_id for r in decontaminate.remove_contaminated(d, b, **options).collect()] == [8]
+
+
 def test_decontamination_finds_planted_passages_and_leaves_the_rest(spark):
     b = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
