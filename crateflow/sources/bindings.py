@@ -7,9 +7,10 @@ DuckDB. Spark builds it with ``spark.sql(text, **dataframes)`` (no global
 views, no string rewriting); the oracle inlines the same text as a CTE.
 
 Placeholders ``{name}`` refer to driver tables or to other bindings.
-All bindings read whole tables; ``%`` only shapes attribute values (which
-artist has an image, which name gets a leading quote), never selects a
-cheaper subset.
+All bindings read whole tables; ``%`` shapes attribute values (which name
+gets a leading quote) and says which entities have rows in some child tables
+(images, urls, videos; the rules are in FIXTURES.md), so that none, one and
+several occur.
 """
 
 from __future__ import annotations
