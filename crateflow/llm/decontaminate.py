@@ -116,6 +116,8 @@ def _finder(items: Items, threshold: float, block: int = 1 << 18):
     def pairs_of(words, rows, a, b, length, h, item, at, bits):
         """Matches of the seeds of rows a..b: (row, item, place in text, place in item)."""
         lo, hi = int(rows[a]), int(rows[b])
+        if lo == hi:  # no word in any of them
+            return
         found = []
         for start in range(lo, hi, block):
             here = window_hashes(words[start: min(hi, start + block + length - 1)], length)

@@ -243,6 +243,14 @@ def test_repeated_benchmark_rows_are_sent_once_and_all_reported(spark):
         assert [r.doc_id for r in decontaminate.remove_contaminated(d, b, **options).collect()] == [8]
 
 
+def test_decontamination_of_batches_without_a_word(spark):
+    b = spark.createDataFrame([(1, "one two three four five six"), (2, "x"), (3, ""), (4, None)], "item_id bigint, text string")
+    for rows in ([(1, ""), (2, None), (None, " \n "), (2, None)], [(1, "..."), (1, "...")]):
+        d = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+        assert decontaminate.contaminated_pairs(d, b).count() == 0
+        assert sorted(map(str, decontaminate.remove_contaminated(d, b).collect())) == sorted(map(str, d.collect()))
+
+
 def test_decontamination_finds_planted_passages_and_leaves_the_rest(spark):
     b = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
