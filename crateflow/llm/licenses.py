@@ -46,19 +46,36 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 ]
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines and reservations, words only, equivalent spellings as one."""
+def _word_lines(text: Column) -> Column:
+    """Lower case, without copyright lines and reservations, words apart by one space; the line ends stay."""
     t = F.regexp_replace(F.lower(text), "(?m)^[ \\t]*(copyright\\b|\\(c\\)|\\x{a9})[^\\n]*$", " ")
-    t = F.trim(F.regexp_replace(t, "[^\\p{L}\\p{N}]+", " "))
+    return F.regexp_replace(t, "[^\\p{L}\\p{N}\\n]+", " ")
+
+
+def _one_line(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def _spelled(words: Column) -> Column:
+    """Words apart by one space, equivalent spellings as one."""
     spell = F.create_map(*[F.lit(x) for pair in EQUIVALENT.items() for x in pair])
-    return F.array_join(F.transform(F.split(t, " "), lambda w: F.coalesce(F.element_at(spell, w), w)), " ")
+    return F.array_join(F.transform(F.split(words, " "), lambda w: F.coalesce(F.element_at(spell, w), w)), " ")
+
+
+def _n_words(words: Column) -> Column:
+    return F.length(words) - F.length(F.translate(words, " ", "")) + 1
+
+
+def canonical(text: Column) -> Column:
+    """Lower case, without copyright lines and reservations, words only, equivalent spellings as one."""
+    return _spelled(_one_line(F.transform(F.split(_word_lines(text), "\n", -1), lambda x: F.trim(x))))
 
 
 def known_table(spark: SparkSession, known=None) -> DataFrame:
-    """(digest, license_id); of equal canonical texts the least id stands."""
+    """(digest, n_words, license_id), n_words of the canonical text; of equal canonical texts the least id stands."""
     rows = spark.createDataFrame(KNOWN if known is None else known, "license_id string, text string")
-    form = canonical(F.col("text"))
-    return (rows.where(form != "").groupBy(F.sha2(form.cast("binary"), 256).alias("digest"))
+    forms = rows.select("license_id", canonical(F.col("text")).alias("form")).where("form <> ''")
+    return (forms.groupBy(F.sha2(F.col("form").cast("binary"), 256).alias("digest"), _n_words(F.col("form")).alias("n_words"))
             .agg(F.min("license_id").alias("license_id")))
 
 
@@ -68,8 +85,10 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     ``text_license``: the licence that the entire text is, or null;
     ``notices``: ids of the licences that single lines are, sorted, each
     once; ``n_notices``: how many such lines there are. ``known`` has
-    digest and license_id (see ``known_table``); it is broadcast only if
-    Spark finds it small enough, and joined by a shuffle of digests otherwise.
+    digest, n_words and license_id (see ``known_table``). Units with as many
+    words as some known licence are digested; ``known`` is broadcast to them
+    only if Spark finds it small enough, and joined by a shuffle of digests
+    otherwise.
 
     Defined cases: a null text, or one with nothing left in canonical form,
     is no licence; rows that share an id are told apart by the CRC-32 of
@@ -79,13 +98,19 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"),
                       F.coalesce(F.crc32(text.cast("binary")), F.lit(-1)).alias("version"))
-    line = F.explode(F.split("text", "\n", -1)).alias("unit")
-    units = (own.select("doc_id", "version", F.lit(True).alias("whole"), F.col("text").alias("unit"))
-             .unionByName(own.select("doc_id", "version", F.lit(False).alias("whole"), line)))
-    form = canonical(F.col("unit"))
-    hits = (units.select("doc_id", "version", "whole", form.alias("form")).where("form <> ''")
-            .select("doc_id", "version", "whole", F.sha2(F.col("form").cast("binary"), 256).alias("digest"))
-            .join(known, "digest").groupBy("doc_id", "version", "whole", "license_id").agg(F.count(F.lit(1)).alias("n")))
+    # the text is made words once; its lines, and all of them in one, are the units
+    lines = F.transform(F.split(_word_lines(F.col("text")), "\n", -1), lambda x: F.trim(x))
+    unit = lambda whole, words: F.struct(F.lit(whole).alias("whole"), words.alias("words"))
+    units = F.transform(F.array(lines), lambda x: F.concat(F.array(unit(True, _one_line(x))),
+                                                           F.transform(x, lambda w: unit(False, w))))[0]
+    units = own.select("doc_id", "version", F.explode(units).alias("u")).select("doc_id", "version", "u.whole", "u.words")
+    # a spelling is one word for one word: only a unit with as many words as a known licence can be one;
+    # there are no more such numbers than the longest known licence has words
+    sizes = F.broadcast(known.select("n_words").distinct())
+    hits = (units.where("words <> ''").withColumn("n_words", _n_words(F.col("words"))).join(sizes, "n_words", "left_semi")
+            .select("doc_id", "version", "whole", "n_words", F.sha2(_spelled(F.col("words")).cast("binary"), 256).alias("digest"))
+            .join(known, ["digest", "n_words"]).groupBy("doc_id", "version", "whole", "license_id")
+            .agg(F.count(F.lit(1)).alias("n")))
     copies = own.groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("copies"))
     found = hits.groupBy("doc_id", "version").agg(
         F.min(F.when(F.col("whole"), F.col("license_id"))).alias("text_license"),
