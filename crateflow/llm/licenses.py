@@ -1,14 +1,17 @@
 """Licence scan by canonical digests: texts that are a known licence up to harmless differences.
 
-A text is made canonical (case, copyright lines, punctuation and white
-space, equivalent spellings), its SHA-256 is joined with the digests of the
-known licences. Whole texts are looked up, and every line as a text of its
+A text is made canonical (case, comment marks, copyright lines, reservations,
+punctuation and white space, equivalent spellings), its SHA-256 is joined with
+the digests of the known licences: ``KNOWN`` and the files of ``license_texts``,
+each with and without its title lines. Whole texts are looked up, and every line as a text of its
 own, which finds licence notices inside documents. All of it is DataFrame
 functions: the texts are not shuffled, only digests meet the known table.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ EQUIVALENT = {
     "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 
-#: Known licence texts and notices (id, text).
+#: Known licence texts and notices (id, text); the whole texts are in ``license_texts`` too, with titles.
 KNOWN = [
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -46,10 +49,37 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 ]
 
 
+#: What may stand before the words of a line in a comment.
+_MARKS = r"[ \t#/*;%!<>|\"'-]*(?:(?:dnl|@?rem)[ \t]+)?"
+#: What follows these words where a licence speaks of them, and no name or year: such a line is part of the text,
+#: wherever its lines are broken.
+_BODY = (r"[ \t]*$|[ \t]+(?:(?:if|in|of|on|the)[ \t]*$|(?:and|are|disclaimer|doctrines|each contributor|holders?|if you|in it|including"
+         r"|interests?|laws?|licen[cs]e|notices?|of this|on the|or|owners?|ownership|permission|resulting|statements?"
+         r"|the (?:library|software)|treaty)\b)")
+_ITEM = r"[ \t]*$|[ \t]+(?:the[ \t]*$|(?:representations|the licen[cs]es|under|you)\b)"
+_NOTICE_LINE = (rf"(?m)^{_MARKS}(?:(?:(?:portions|parts)[ \t]+)?copyright\b(?![\"\-,.;)][^\w\n]*(?:[^\W\d]|$)|{_BODY})"
+                rf"|\(c\)(?!{_ITEM})|\x{{a9}})[^\n]*$|^{_MARKS}all rights reserved\b[^\p{{L}}\p{{N}}\n]*$|^[ \t]*(?:dnl|@?rem)[ \t]")
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(id, text) of all known licences: ``KNOWN``, and each file of ``license_texts`` in its forms.
+
+    A file ``ID.txt`` or ``ID@wording.txt`` has title lines, a line ``%%``,
+    and the text. Its forms are the text without a title and after each one,
+    whole, and cut before and after the line that ends the terms.
+    """
+    out = list(KNOWN)
+    for file in resources.files(__package__).joinpath("license_texts").iterdir():
+        titles, _, body = file.read_text(encoding="utf-8").partition("\n%%\n")
+        terms, end, _ = body.partition("END OF TERMS AND CONDITIONS")
+        bodies = [body, terms + end, terms] if end else [body]
+        out += [(file.name.removesuffix(".txt").split("@")[0], f"{t}\n{b}") for t in ["", *titles.split("\n")] for b in bodies]
+    return out
+
+
 def _word_lines(text: Column) -> Column:
-    """Lower case, without copyright lines and reservations, words apart by one space; the line ends stay."""
-    t = F.regexp_replace(F.lower(text), "(?m)^[ \\t]*(copyright\\b|\\(c\\)|\\x{a9})[^\\n]*$", " ")
-    return F.regexp_replace(t, "[^\\p{L}\\p{N}\\n]+", " ")
+    """Lower case, without comment marks, copyright lines and reservations, words apart by one space; the line ends stay."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), _NOTICE_LINE, " "), "[^\\p{L}\\p{N}\\n]+", " ")
 
 
 def _one_line(lines: Column) -> Column:
@@ -67,13 +97,13 @@ def _n_words(words: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines and reservations, words only, equivalent spellings as one."""
+    """Lower case, without comment marks, copyright lines and reservations, words only, equivalent spellings as one."""
     return _spelled(_one_line(F.transform(F.split(_word_lines(text), "\n", -1), lambda x: F.trim(x))))
 
 
 def known_table(spark: SparkSession, known=None) -> DataFrame:
     """(digest, n_words, license_id), n_words of the canonical text; of equal canonical texts the least id stands."""
-    rows = spark.createDataFrame(KNOWN if known is None else known, "license_id string, text string")
+    rows = spark.createDataFrame(known_texts() if known is None else known, "license_id string, text string")
     forms = rows.select("license_id", canonical(F.col("text")).alias("form")).where("form <> ''")
     return (forms.groupBy(F.sha2(F.col("form").cast("binary"), 256).alias("digest"), _n_words(F.col("form")).alias("n_words"))
             .agg(F.min("license_id").alias("license_id")))

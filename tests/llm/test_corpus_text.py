@@ -1,7 +1,9 @@
 """BPE, token counts, language ID, line dedup and licences against plain versions."""
 
+import pathlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -186,3 +188,29 @@ def test_licences_equal_a_plain_version(spark):
         lines = [forms[f] for f in map(_plain_form, t.split("\n")) if f in forms]
         want[i] = (forms.get(_plain_form(t)), sorted(set(lines)), len(lines))
     assert got == want and sum(w[0] is not None for w in want.values()) > 5 and sum(w[2] > 0 for w in want.values()) > 5
+
+
+def test_licence_files_as_they_are_found(spark):
+    texts = dict(licenses.KNOWN)
+    bodies = {p.stem: p.read_text().partition("\n%%\n") for p in (pathlib.Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    rows = [("MIT", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + texts["MIT"]),
+            ("MIT", "The MIT License (MIT)\nCopyright 2020 The Some Authors. All rights reserved.\n\n" + texts["MIT"]),
+            ("ISC", "The ISC License\n\nCopyright (c) Some Body and Others\n" + texts["ISC"]),
+            ("0BSD", "# Copyright (C) 2020 Some Body\n# All rights reserved.\n#\n" + re.sub("(?m)^", "# ", texts["0BSD"])),
+            ("MIT", "/*\n * Copyright (c) 2020 Some Body\n *\n" + re.sub("(?m)^", " * ", textwrap.fill(texts["MIT"], 30)) + "\n */"),
+            ("ISC", "dnl Copyright 2020 Some Body\n" + re.sub("(?m)^", "dnl ", textwrap.fill(texts["ISC"], 40))),
+            (None, "MIT License\n\n" + texts["MIT"] + "\nor not"), (None, "Apache License Version 2.0, January 2004")]
+    rows += [(n.split("@")[0], head.split("\n")[0] + "\n\nCopyright (c) 1999 Some Body\n\n" + body) for n, (head, _, body) in bodies.items()]
+    rows += [(n.split("@")[0], body) for n, (_, _, body) in bodies.items()]
+    # a licence is the same wherever its lines are broken
+    rnd = random.Random(5)
+    for n, (_, _, body) in bodies.items():
+        body = body.partition("END OF TERMS")[0]
+        rows += [(n.split("@")[0], "\n\n".join(p if re.search(r"(?i)copyright( \(c\)|  ?year)", " ".join(p.split())) else
+                                              textwrap.fill(" ".join(p.split()), rnd.randint(25, 120), break_on_hyphens=False,
+                                                            break_long_words=False)
+                                              for p in body.split("\n\n"))) for _ in range(4)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text_license for r in licenses.scan(docs, licenses.known_table(spark)).collect()}
+    assert [(want, rows[i][1][:60]) for i, (want, _) in enumerate(rows) if got[i] != want] == []
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(got.values())
