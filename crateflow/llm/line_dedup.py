@@ -44,13 +44,14 @@ def boilerplate_lines(pages: DataFrame, host_col: str, text_col: str, max_ratio:
 
 
 def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.1,
-                     min_pages: int = 10, kept_col: str = "kept_text", lines_col: str = "n_lines",
+                     min_pages: int = 3, kept_col: str = "kept_text", lines_col: str = "n_lines",
                      dropped_col: str = "n_dropped") -> DataFrame:
     """``pages`` with the text left after dropping boilerplate lines, its lines before, and how many went.
 
     A line is boilerplate on a host if at least ``min_pages`` of the host's
     pages contain it and these are more than ``max_ratio`` of all its pages.
-    Lines are compared without outer spaces; blank lines are neither counted
+    The ratio decides at every size of host; ``min_pages`` only tells a repeat
+    from a page's own line, which on a small host is beyond any ratio. Lines are compared without outer spaces; blank lines are neither counted
     nor dropped.
 
     Defined cases: a page without a host keeps every line; a null text stays

@@ -214,3 +214,13 @@ def test_licence_files_as_they_are_found(spark):
     got = {r.doc_id: r.text_license for r in licenses.scan(docs, licenses.known_table(spark)).collect()}
     assert [(want, rows[i][1][:60]) for i, (want, _) in enumerate(rows) if got[i] != want] == []
     assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(got.values())
+
+
+def test_line_dedup_lets_the_ratio_decide_at_every_size_of_host(spark):
+    rows = []
+    for host, pages, carried in [("three", 3, 3), ("two", 2, 2), ("dozen", 12, 9), ("dozen-few", 12, 2), ("hundred", 50, 8), ("hundred-few", 50, 5),
+                                 ("thousand", 1000, 101), ("thousand-few", 1000, 100)]:
+        rows += [(host, f"own {n}\nmenu" if n < carried else f"own {n}") for n in range(pages)]
+    docs = spark.createDataFrame(rows, "source string, text string")
+    dropped = {r.source: r.n for r in line_dedup.drop_boilerplate(docs).groupBy("source").agg(F.sum("n_dropped").alias("n")).collect()}
+    assert dropped == {"three": 3, "two": 0, "dozen": 9, "dozen-few": 0, "hundred": 8, "hundred-few": 0, "thousand": 101, "thousand-few": 0}
