@@ -299,3 +299,22 @@ def test_chunked_framing_and_damage():
     one = list(warc.records_of(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None, False, 50, 10, "d"))
     damaged = b"noise" + one[0] + b"\r\n\r\nWARC/1.1\r\nContent-Length: 99999\r\n\r\nxx\r\n" + b"\r\n\r\n".join(one[1:])
     assert len(list(warc.parse(damaged))) == len(one)
+
+
+@pytest.mark.parametrize("size", [3000, 12000])
+def test_embedding_recall_of_planted_pairs_with_default_parameters(spark, size):
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(20, 64))[rng.integers(0, 20, size)] * 0.6 + rng.normal(size=(size, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # the last tenth are vectors at a known cosine from as many others
+    n = size // 10
+    u, cosine = x[:n], rng.uniform(0.901, 0.95, (n, 1))
+    w = rng.normal(size=(n, 64))
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    x[-n:] = cosine * u + np.sqrt(1 - cosine**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    links = np.concatenate([(x[a:a + 1000] @ x.T >= 0.9).sum(axis=1) - 1 for a in range(0, size, 1000)])
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table, min_cosine=0.9).collect()}
+    assert links.sum() >= 2 * n and all(got[i] <= links[i] for i in range(size))
+    print("recall", size, sum(got.values()), int(links.sum()))
+    assert sum(got.values()) >= 0.95 * links.sum()
