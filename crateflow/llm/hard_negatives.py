@@ -3,7 +3,8 @@
 Candidates are hashed into shards of bounded size, anchors into blocks; a
 task holds one shard and one block. It sorts the shard once for each
 dimension. For an anchor every list is read from the end that its component's
-sign makes best, some depths at a time; each row met is scored at once
+sign makes best, some depths at a time (a row's places in the lists say at
+which depth it is first met); each row met is scored at once
 (random access) by the integer inner product. No row that was not met can
 score more than the threshold, the score of an imagined row with the current
 entry of every list. A search ends when the threshold is strictly below the
@@ -35,52 +36,44 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 class SortedLists:
-    """One shard: its rows, and for each dimension the rows by ascending component."""
+    """One shard: its rows, each dimension's components in ascending order, and each row's place in every list."""
 
     def __init__(self, rows: np.ndarray):
-        self.rows = rows
         self.n, self.width = rows.shape
-        self.order = np.argsort(rows, axis=0, kind="stable")
-        self.values = np.take_along_axis(rows, self.order, axis=0)
+        order = np.argsort(rows, axis=0, kind="stable")
+        self.values = np.take_along_axis(rows, order, axis=0)
+        self.place = np.empty((self.width, self.n), dtype=np.int32)
+        for place, own in zip(self.place, order.T):
+            place[own] = np.arange(self.n)
         self.most = max((abs(int(x)) for x in (rows.max(initial=0), rows.min(initial=0))), default=0)
-
-    def _arithmetic(self, anchor: np.ndarray):
-        """The number type in which every score is exact."""
-        bound = self.most * sum(abs(int(x)) for x in anchor)
-        return np.float64 if bound < 2**53 else np.int64 if bound < 2**62 else object
-
-    def walk(self, anchor: np.ndarray, first_depth: int = 64):
-        """Yield (new rows, their scores, threshold); the threshold is None once every row was met.
-
-        Scores are exact integers, those beyond a long are the nearest long.
-        """
-        kind = self._arithmetic(anchor)
-        exact = anchor.astype(kind)
-        up, down = np.flatnonzero(anchor < 0), np.flatnonzero(anchor > 0)
-        # the typed copies are views where the type is the stored one
-        rows, low, high = (x.astype(kind, copy=False) for x in (self.rows, self.values[:, up], self.values[:, down]))
-        seen = np.zeros(self.n, dtype=bool)
-        depth, step, met = 0, first_depth, 0
-        while met < self.n:
-            stop = min(depth + step, self.n)
-            if len(up) + len(down) == 0:  # all scores are zero
-                stop = self.n
-                fresh = np.ones(self.n, dtype=bool)
-            else:
-                fresh = np.zeros(self.n, dtype=bool)
-                fresh[self.order[depth:stop, up]] = True
-                fresh[self.order[self.n - stop: self.n - depth, down]] = True
-            fresh &= ~seen
-            seen |= fresh
-            new = np.flatnonzero(fresh)
-            met += len(new)
-            scores = rows[new] @ exact
-            if met == self.n:
-                yield new, _longs(scores), None
-                return
-            edge = low[stop - 1] @ exact[up] + high[self.n - stop] @ exact[down]
-            yield new, _longs(scores), min(max(int(edge), _LONG.min), _LONG.max)
-            depth, step = stop, step * 2
+        self._rows = {np.dtype(np.int64): rows}
+
+    def depths(self, anchor: np.ndarray) -> np.ndarray:
+        """The depth at which sorted access, every list from its better end, first meets each row."""
+        first = np.full(self.n, self.n if anchor.any() else 0, dtype=np.int32)
+        for place, a in zip(self.place, anchor.tolist()):
+            if a:
+                np.minimum(first, place if a < 0 else self.n - 1 - place, out=first)
+        return first
+
+    def threshold(self, anchor: list[int], depth: int) -> int:
+        """No row that the first ``depth`` entries of the lists do not hold scores more."""
+        low, high = self.values[depth - 1].tolist(), self.values[self.n - depth].tolist()
+        edge = sum(a * (low[i] if a < 0 else high[i]) for i, a in enumerate(anchor))
+        return min(max(edge, _LONG.min), _LONG.max)
+
+    def scores(self, rows: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+        """Exact integer scores of ``rows`` (as a full table, only these rows filled); beyond a long: the nearest long."""
+        bound = self.most * max(sum(map(abs, a)) for a in anchors.tolist())
+        kind = np.dtype(np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64 if bound < 2**62 else object)
+        if kind not in self._rows:
+            self._rows[kind] = self._rows[np.dtype(np.int64)].astype(kind)
+        table, exact = self._rows[kind], anchors.T.astype(kind)
+        if 4 * len(rows) > self.n:  # reading the shard in order is cheaper than fetching so many rows
+            return table @ exact
+        out = np.zeros((self.n, len(anchors)), dtype=kind)
+        out[rows] = table[rows] @ exact
+        return out
 
 
 def _longs(scores: np.ndarray) -> np.ndarray:
@@ -92,8 +85,8 @@ def _longs(scores: np.ndarray) -> np.ndarray:
 class _Best:
     """The k best of what was met, by score and then by smaller id; ``low`` and ``high`` bound the scores."""
 
-    def __init__(self, k: int, low: int | None = None, high: int | None = None):
-        self.k, self.low, self.high = k, low, high
+    def __init__(self, k: int, low: int | None = None, high: int | None = None, of: int = 0):
+        self.k, self.low, self.high, self.of = k, low, high, of
         self.scores = self.ids = np.zeros(0, dtype=np.int64)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -115,18 +108,45 @@ class _Best:
         return len(self.scores) == self.k and threshold < self.scores[-1]
 
 
-def _searches(lists: SortedLists, ids: np.ndarray, allowed: np.ndarray, anchor: np.ndarray, wanted: list[_Best]) -> None:
-    """Walk until every search of ``wanted`` is settled or all rows were met."""
-    left = int(allowed.sum())
-    if not left or not wanted:
-        return
-    for new, scores, threshold in lists.walk(anchor):
-        mine = allowed[new]
-        left -= int(mine.sum())
-        for w in wanted:
-            w.add(scores[mine], ids[new[mine]])
-        if threshold is None or not left or all(w.settled(threshold) for w in wanted):
-            return
+class _Search:
+    """What one anchor looks for, among the rows that ``allowed()`` marks."""
+
+    def __init__(self, allowed, wanted: list[_Best]):
+        self.mask, self.wanted = allowed, wanted
+
+    def begin(self, lists: SortedLists, anchor: np.ndarray) -> "_Search":
+        self.anchor, self.allowed = anchor.tolist(), self.mask()
+        self.left = int(self.allowed.sum()) if self.wanted else 0
+        self.met = lists.depths(anchor) if self.left else None
+        return self
+
+    def end(self) -> None:
+        self.allowed = self.met = None
+
+
+def _searches(lists: SortedLists, ids: np.ndarray, anchors: np.ndarray, found: list[_Search], first_depth: int = 64,
+              batch: int = 16) -> None:
+    """Sorted access some depths at a time, ``batch`` anchors side by side, until each search is settled."""
+    for at in range(0, len(found), batch):
+        active = [(i, s) for i, s in enumerate(found[at: at + batch], at) if s.begin(lists, anchors[i]).left]
+        depth, stop = 0, min(first_depth, lists.n)
+        while active:
+            fresh = [(s.met >= depth) & (s.met < stop) for _, s in active]
+            scores = lists.scores(np.flatnonzero(np.logical_or.reduce(fresh)), anchors[[i for i, _ in active]])
+            still = []
+            for column, ((i, s), new) in enumerate(zip(active, fresh)):
+                new = np.flatnonzero(new & s.allowed)
+                s.left -= len(new)
+                own = _longs(scores[new, column])
+                for w in s.wanted:
+                    w.add(own, ids[new])
+                if s.left and stop < lists.n:
+                    edge = lists.threshold(s.anchor, stop)
+                    if not all(w.settled(edge) for w in s.wanted):
+                        still.append((i, s))
+            active, depth, stop = still, stop, min(4 * stop, lists.n)
+        for s in found[at: at + batch]:
+            s.end()
 
 
 _POSITIVES = "anchor_id bigint, positive_id bigint, positive_score bigint"
@@ -140,8 +160,7 @@ def _task(found_schema: list[str], search):
             width = key[1].as_py()
             lists = SortedLists(_matrix(shard["q"], width))
             ids, labels = (shard[c].to_numpy() for c in ("id", "label"))
-            for a, row in zip(_matrix(anchors["q"], width), anchors.drop_columns(["q"]).to_pylist()):
-                out.extend(search(lists, ids, labels, a, row))
+            out.extend(search(lists, ids, labels, _matrix(anchors["q"], width), anchors.drop_columns(["q"]).to_pylist()))
         table = np.concatenate(out) if out else np.zeros((0, len(found_schema)), dtype=np.int64)
         return pa.table([pa.array(table[:, i]) for i in range(len(found_schema))], names=found_schema)
 
@@ -153,11 +172,11 @@ def _rows(*columns) -> np.ndarray:
 
 
 def _positive_search(k: int):
-    def search(lists, ids, labels, a, row):
-        best = _Best(k)
-        _searches(lists, ids, (labels == row["label"]) & (ids != row["id"]), a, [best])
-        if len(best.ids):
-            yield _rows(row["id"], best.ids, best.scores)
+    def search(lists, ids, labels, anchors, rows):
+        found = [_Search(lambda r=r: (labels == r["label"]) & (ids != r["id"]), [_Best(k)]) for r in rows]
+        _searches(lists, ids, anchors, found)
+        for r, s in zip(rows, found):
+            yield _rows(r["id"], s.wanted[0].ids, s.wanted[0].scores)
 
     return search
 
@@ -168,13 +187,15 @@ def window(score: int, low: int, high: int) -> tuple[int, int]:
 
 
 def _negative_search(k: int, low: int, high: int):
-    def search(lists, ids, labels, a, row):
-        windows = {s: window(s, low, high) for s in row["scores"]}
-        wanted = {s: _Best(k, *w) for s, w in windows.items() if w[0] <= w[1]}
-        _searches(lists, ids, labels != row["label"], a, list(wanted.values()))
-        for s, best in wanted.items():
-            if len(best.ids):
-                yield _rows(row["id"], s, best.ids, best.scores)
+    def search(lists, ids, labels, anchors, rows):
+        found = []
+        for r in rows:
+            windows = [window(s, low, high) for s in r["scores"]]
+            found.append(_Search(lambda r=r: labels != r["label"], [_Best(k, *w, s) for w, s in zip(windows, r["scores"]) if w[0] <= w[1]]))
+        _searches(lists, ids, anchors, found)
+        for r, s in zip(rows, found):
+            for best in s.wanted:
+                yield _rows(r["id"], best.of, best.ids, best.scores)
 
     return search
 
