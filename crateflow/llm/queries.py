@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import (bpe, decontaminate, embedding_dedup, hard_negatives, langid, licenses, line_dedup, simhash, substring_dedup,
-                           token_counts, warc)
+from crateflow.llm import (alignment, bpe, decontaminate, embedding_dedup, hard_negatives, langid, licenses, line_dedup, simhash,
+                           substring_dedup, token_counts, warc)
 from crateflow.llm.common import written
 from crateflow.session import scratch_path
 
@@ -17,11 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
-    """The byte-level vocabulary that the registered queries use."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file; the byte-level one is what most registered queries use."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +201,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups").isNull(), "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors are the rows whose id is divisible by 50; ids divisible by 7 get the next label of ten first."""
     vectors = _table(spark, sf_dir, "embeddings")
@@ -240,6 +246,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_bpe_encode_decode": op9_bpe_encode_decode,
         "op10_token_counts": op10_token_counts,
+        "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
