@@ -16,6 +16,7 @@ import functools
 import hashlib
 import json
 import re
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,9 @@ class TokenizerPair:
             if ranks[bytes(map(chars.__getitem__, left + right))] != 256 + i:
                 raise ValueError("the ids of tokenizer A do not follow its merges")
         self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_a = {i: t for t, i in ranks.items()}
+        self.bytes_a = [b""] * (1 + max(ranks.values()))
+        for token, i in ranks.items():
+            self.bytes_a[i] = token
         self.b = sentencepiece.SentencePieceProcessor(model_proto=source_b)
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
@@ -58,6 +61,19 @@ class TokenizerPair:
             if not byte and not self.b.is_control(i) and SPACE in piece.lstrip(SPACE):
                 raise ValueError(f"piece {i} of tokenizer B reaches over a space")
             self.bytes_b.append(bytes([int(byte[1], 16)]) if byte else piece.replace(SPACE, " ").encode())
+        self.sizes_a, self.sizes_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+
+    def _encode_a(self, spaced: list[str], raw: list[bytes]) -> list[list[int]]:
+        """Ids of A of each unit. Units that end in a sign other than white space are encoded in one go."""
+        together = [i for i, u in enumerate(spaced) if not u[-1].isspace()]
+        ids = self.a.encode_to_numpy("".join(map(spaced.__getitem__, together)), disallowed_special=()) if together else np.zeros(0, np.uint32)
+        ends = np.cumsum(np.array(self.sizes_a)[ids])
+        cuts = np.searchsorted(ends, np.cumsum([len(raw[i]) for i in together]), side="left") + 1
+        flat, out = ids.tolist(), [None] * len(spaced)
+        for i, a, b in zip(together, [0, *cuts.tolist()], cuts.tolist()):
+            out[i] = flat[a:b]
+        return [self.a.encode_ordinary(u) if o is None else o for u, o in zip(spaced, out)]
 
     def align(self, units: list[str]) -> list[tuple[int, int, str | None, list[int]]]:
         """(tokens of A, tokens of B, groups as text, linked id pairs) of each unit, without its leading space.
@@ -67,37 +83,27 @@ class TokenizerPair:
         if not units:
             return []
         spaced = [" " + u for u in units]
+        raw = [u.encode() for u in spaced]
         out = []
-        for unit, ids_a, ids_b in zip(spaced, self.a.encode_ordinary_batch(spaced, num_threads=1),
-                                      self.b.encode(units, num_threads=1)):
-            raw = unit.encode()
-            parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
+        for text, ids_a, ids_b in zip(raw, self._encode_a(spaced, raw), self.b.encode(units, num_threads=1)):
+            if b"".join(map(self.bytes_a.__getitem__, ids_a)) != text or b"".join(map(self.bytes_b.__getitem__, ids_b)) != text:
                 out.append((len(ids_a), len(ids_b), None, []))
             else:
-                out.append((len(ids_a), len(ids_b), *groups(ids_a, parts_a, ids_b, parts_b)))
+                out.append((len(ids_a), len(ids_b), *self.groups(ids_a, ids_b)))
         return out
 
-
-def groups(ids_a: list[int], parts_a: list[bytes], ids_b: list[int], parts_b: list[bytes]) -> tuple[str, list[int]]:
-    """The groups as text ``a1,a2|b1;a3|b2`` and the linked pairs as ``a << 32 | b``."""
-    index_a, index_b = _ends(parts_a), _ends(parts_b)
-    text, links, from_a, from_b = [], [], 0, 0
-    for end in sorted(index_a.keys() & index_b.keys()):
-        to_a, to_b = index_a[end] + 1, index_b[end] + 1
-        text.append(",".join(map(str, ids_a[from_a:to_a])) + "|" + ",".join(map(str, ids_b[from_b:to_b])))
-        links.append(ids_a[to_a - 1] << _B_BITS | ids_b[to_b - 1])  # tokens are never empty: one of each ends here
-        from_a, from_b = to_a, to_b
-    return ";".join(text), links
-
-
-def _ends(parts: list[bytes]) -> dict[int, int]:
-    """Cumulative end -> index of the token that ends there."""
-    out, at = {}, 0
-    for i, part in enumerate(parts):
-        at += len(part)
-        out[at] = i
-    return out
+    def groups(self, ids_a: list[int], ids_b: list[int]) -> tuple[str, list[int]]:
+        """The groups as text ``a1,a2|b1;a3|b2`` and the linked pairs as ``a << 32 | b``."""
+        index_a = dict(zip(accumulate(map(self.sizes_a.__getitem__, ids_a)), count(1)))  # end -> index after the token
+        index_b = dict(zip(accumulate(map(self.sizes_b.__getitem__, ids_b)), count(1)))
+        names_a, names_b = list(map(self.names.__getitem__, ids_a)), list(map(self.names.__getitem__, ids_b))
+        text, links, from_a, from_b = [], [], 0, 0
+        for end in sorted(index_a.keys() & index_b.keys()):
+            to_a, to_b = index_a[end], index_b[end]
+            text.append(f"{','.join(names_a[from_a:to_a])}|{','.join(names_b[from_b:to_b])}")
+            links.append(ids_a[to_a - 1] << _B_BITS | ids_b[to_b - 1])  # tokens are never empty: one of each ends here
+            from_a, from_b = to_a, to_b
+        return ";".join(text), links
 
 
 @functools.lru_cache(maxsize=2)
@@ -189,7 +195,7 @@ def _documents(batches):
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text",
-          slice_bytes: int = 2 << 20) -> DataFrame:
+          slice_bytes: int = 6 << 20) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) for every row of ``docs``.
 
     A encodes space + text, B the text (it adds the space); special tokens'

@@ -18,6 +18,14 @@ ODD = ["", " ", "  ", "a  b", "a \n b", "x  y", "x　  y z", "it's  they'll 're
        " lead", "trail ", "1 22 333 4444", "ÀÉ naïve façade"]
 
 
+def ends(parts):
+    out, at = {}, 0
+    for i, part in enumerate(parts):
+        at += len(part)
+        out[at] = i
+    return out
+
+
 def brute(texts, path_a=None, path_b=None):
     a = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     a.encode_special_tokens = True
@@ -35,8 +43,7 @@ def brute(texts, path_a=None, path_b=None):
         if not ids_a:
             rows.append((0, 0, [], []))
             continue
-        ends_a = {sum(map(len, parts_a[:i + 1])): i for i in range(len(ids_a))} if len(ids_a) < 300 else alignment._ends(parts_a)
-        ends_b = alignment._ends(parts_b)
+        ends_a, ends_b = ends(parts_a), ends(parts_b)
         cut_a = cut_b = 0
         groups, links = [], []
         for end in sorted(set(ends_a) & set(ends_b)):
