@@ -32,7 +32,7 @@ def quantised(vector: Column, scale: int) -> Column:
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.int64).reshape(-1, width)
+    return flat.astype(np.int64).reshape(len(column), width)
 
 
 class SortedLists:
