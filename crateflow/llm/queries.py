@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import (alignment, bpe, decontaminate, embedding_dedup, hard_negatives, langid, licenses, line_dedup, simhash,
-                           substring_dedup, token_counts, warc)
+from crateflow.llm import (alignment, bpe, decontaminate, embedding_dedup, hard_negatives, langid, language_model, licenses, line_dedup,
+                           simhash, substring_dedup, token_counts, warc)
 from crateflow.llm.common import written
 from crateflow.session import scratch_path
 
@@ -201,6 +201,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id has CRC-32 2 modulo 7 are held out from learning."""
+    return language_model.score(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
     digest = F.when(F.col("groups").isNull(), "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
@@ -246,6 +251,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_bpe_encode_decode": op9_bpe_encode_decode,
         "op10_token_counts": op10_token_counts,
+        "op11_language_model": op11_language_model,
         "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
         "op13_hard_negatives": op13_hard_negatives,
     }
