@@ -16,7 +16,7 @@ import functools
 import hashlib
 import json
 import re
-from itertools import accumulate, count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from crateflow.llm.bpe import PATTERN, _byte_of_char
 from crateflow.llm.common import raw_texts, slices, written
-from crateflow.llm.slice_table import figures_back, keys_of_slices, pack, slice_numbers, unpack
+from crateflow.llm.slice_table import Numbers, figures_back, keys_of_slices, pack, slice_numbers, unpack
 
 SPACE = "▁"
 _CUT = re.compile(r"(?<=\S) (?=[\s\S])")  # B encodes nothing as nothing, so a last space stays; \S of Python: no white space of either tokenizer matches it
+_UNCUT = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]  # spaces after white space are no cuts
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _B_BITS = 32
 
@@ -61,49 +62,67 @@ class TokenizerPair:
             if not byte and not self.b.is_control(i) and SPACE in piece.lstrip(SPACE):
                 raise ValueError(f"piece {i} of tokenizer B reaches over a space")
             self.bytes_b.append(bytes([int(byte[1], 16)]) if byte else piece.replace(SPACE, " ").encode())
-        self.sizes_a, self.sizes_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
-        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
+        names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.digits = np.array(list(map(len, names)), dtype=np.int64)
+        self.names = {end: np.array([n + end for n in names], dtype=object) for end in ",|;"}
 
     def _encode_a(self, spaced: list[str], raw: list[bytes]) -> list[list[int]]:
         """Ids of A of each unit. Units that end in a sign other than white space are encoded in one go."""
         together = [i for i, u in enumerate(spaced) if not u[-1].isspace()]
         ids = self.a.encode_to_numpy("".join(map(spaced.__getitem__, together)), disallowed_special=()) if together else np.zeros(0, np.uint32)
-        ends = np.cumsum(np.array(self.sizes_a)[ids])
+        ends = np.cumsum(self.sizes_a[ids])
         cuts = np.searchsorted(ends, np.cumsum([len(raw[i]) for i in together]), side="left") + 1
         flat, out = ids.tolist(), [None] * len(spaced)
         for i, a, b in zip(together, [0, *cuts.tolist()], cuts.tolist()):
             out[i] = flat[a:b]
         return [self.a.encode_ordinary(u) if o is None else o for u, o in zip(spaced, out)]
 
-    def align(self, units: list[str]) -> list[tuple[int, int, str | None, list[int]]]:
-        """(tokens of A, tokens of B, groups as text, linked id pairs) of each unit, without its leading space.
-
-        The groups are None where the tokens of A or of B do not spell the unit.
-        """
-        if not units:
-            return []
+    def align(self, units: list[str]) -> "Aligned":
+        """All units (without their leading spaces) encoded, and those that both tokenizers spell aligned."""
         spaced = [" " + u for u in units]
         raw = [u.encode() for u in spaced]
-        out = []
-        for text, ids_a, ids_b in zip(raw, self._encode_a(spaced, raw), self.b.encode(units, num_threads=1)):
-            if b"".join(map(self.bytes_a.__getitem__, ids_a)) != text or b"".join(map(self.bytes_b.__getitem__, ids_b)) != text:
-                out.append((len(ids_a), len(ids_b), None, []))
-            else:
-                out.append((len(ids_a), len(ids_b), *self.groups(ids_a, ids_b)))
-        return out
-
-    def groups(self, ids_a: list[int], ids_b: list[int]) -> tuple[str, list[int]]:
-        """The groups as text ``a1,a2|b1;a3|b2`` and the linked pairs as ``a << 32 | b``."""
-        index_a = dict(zip(accumulate(map(self.sizes_a.__getitem__, ids_a)), count(1)))  # end -> index after the token
-        index_b = dict(zip(accumulate(map(self.sizes_b.__getitem__, ids_b)), count(1)))
-        names_a, names_b = list(map(self.names.__getitem__, ids_a)), list(map(self.names.__getitem__, ids_b))
-        text, links, from_a, from_b = [], [], 0, 0
-        for end in sorted(index_a.keys() & index_b.keys()):
-            to_a, to_b = index_a[end], index_b[end]
-            text.append(f"{','.join(names_a[from_a:to_a])}|{','.join(names_b[from_b:to_b])}")
-            links.append(ids_a[to_a - 1] << _B_BITS | ids_b[to_b - 1])  # tokens are never empty: one of each ends here
-            from_a, from_b = to_a, to_b
-        return ";".join(text), links
+        ids_a, ids_b = self._encode_a(spaced, raw), self.b.encode(units, num_threads=1) if units else []
+        spelled = np.ones(len(raw), dtype=bool)
+        for table, widths, ids in ((self.bytes_a, self.sizes_a, ids_a), (self.bytes_b, self.sizes_b, ids_b)):
+            flat = list(chain.from_iterable(ids))
+            ends = np.concatenate([[0], np.cumsum(widths[flat])])[np.cumsum(list(map(len, ids)))] if units else np.zeros(0, np.int64)
+            if b"".join(map(table.__getitem__, flat)) != b"".join(raw) or not np.array_equal(ends, np.cumsum(list(map(len, raw)))):
+                spelled &= np.array([b"".join(map(table.__getitem__, x)) == t for x, t in zip(ids, raw)], dtype=bool)
+        return Aligned(self, spelled, [len(t) for t in raw], ids_a, ids_b)
+
+
+class Aligned:
+    """Per unit: ``spelled``, ``n_a``, ``n_b``, ``n_links`` and ``texts`` (the groups as ``a1,a2|b1;a3|b2``); ``links`` of all as ``a << 32 | b``."""
+
+    def __init__(self, pair: TokenizerPair, spelled: np.ndarray, sizes: list[int], ids_a: list[list[int]], ids_b: list[list[int]]):
+        count = lambda ids: np.array(list(map(len, ids)), dtype=np.int64) * spelled
+        self.spelled, self.n_a, self.n_b = spelled, count(ids_a), count(ids_b)
+        sizes = np.array(sizes, dtype=np.int64) * spelled
+        flat = lambda ids: np.fromiter(chain.from_iterable(x for x, ok in zip(ids, spelled) if ok), np.int64)
+        a, b = flat(ids_a), flat(ids_b)
+        # end of each token in the spelled units one after another -> its index; every unit's end is a common one
+        index_a = dict(zip(np.cumsum(pair.sizes_a[a]).tolist(), range(len(a))))
+        index_b = dict(zip(np.cumsum(pair.sizes_b[b]).tolist(), range(len(b))))
+        common = sorted(index_a.keys() & index_b.keys())
+        last_a, last_b = (np.fromiter(map(x.__getitem__, common), np.int64, len(common)) for x in (index_a, index_b))
+        # tokens are never empty, so at a common end one of each ends: they are linked
+        self.links = a[last_a] << _B_BITS | b[last_b]
+        self.n_links = np.diff(np.searchsorted(np.array(common, dtype=np.int64), np.concatenate([[0], np.cumsum(sizes)]), side="right"))
+        self.texts = self._texts(pair, a, b, last_a, last_b)
+
+    def _texts(self, pair: TokenizerPair, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
+        """Both id lists sliced into groups and written out: a comma after an id, a bar after A's last, a semicolon after B's last."""
+        per_a, per_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        at_a = np.arange(len(a)) + np.repeat(np.cumsum(per_b) - per_b, per_a)
+        at_b = np.arange(len(b)) + np.repeat(np.cumsum(per_a), per_b)
+        words, sizes = np.empty(len(a) + len(b), dtype=object), np.empty(len(a) + len(b), dtype=np.int64)
+        for ids, at, last, end in ((a, at_a, last_a, "|"), (b, at_b, last_b, ";")):
+            words[at], sizes[at] = pair.names[","][ids], pair.digits[ids] + 1
+            words[at[last]] = pair.names[end][ids[last]]
+        text = "".join(words.tolist())
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])].tolist()
+        return [text[i: max(i, j - 1)] for i, j in zip(ends, ends[1:])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -126,9 +145,13 @@ def shared_pair(spark, path_a: str, path_b: str, most: int = 64 << 20):
 def text_units(raw: bytes | None) -> list[str]:
     """Units of a text without their leading spaces; none where it is null, empty or not valid UTF-8."""
     try:
-        return _CUT.split(raw.decode()) if raw else []
+        text = raw.decode() if raw else ""
     except UnicodeDecodeError:
         return []
+    if not text:
+        return []
+    plain = text[0] != " " and text[-1] != " " and not any(x in text for x in _UNCUT)
+    return text.split(" ") if plain else _CUT.split(text)
 
 
 _SLICES = ("slice bigint, doc_id array<bigint>, n_units array<int>, n_a array<bigint>, n_b array<bigint>, "
@@ -139,23 +162,19 @@ def _sliced(model, slice_bytes: int):
     def run(batches):
         pair_of, numbers = model(), slice_numbers()
         for part in slices(batches, "text", slice_bytes):
-            local: dict[str, int] = {}
-            docs = [[local.setdefault(u, len(local)) for u in text_units(raw)] for raw in raw_texts(part.column("text"))]
+            local = Numbers()
+            docs = [list(map(local.__getitem__, text_units(raw))) for raw in raw_texts(part.column("text"))]
             found = pair_of.align(list(local))
-            whole = np.array([f[2] is not None for f in found], dtype=bool)
             streams = [np.array(d, dtype=np.int64) for d in docs]
-            streams = [d if whole[d].all() else d[:0] for d in streams]  # one unit that is not spelled: no tokens at all
+            streams = [d if found.spelled[d].all() else d[:0] for d in streams]  # one unit that is not spelled: no tokens at all
             stream = np.concatenate([*streams, np.zeros(0, np.int64)])
             times = np.bincount(stream, minlength=len(local))
-            n_a, n_b, n_links = (np.array(x, dtype=np.int64) for x in (
-                [f[0] for f in found], [f[1] for f in found], [len(f[3]) for f in found]))
-            links = np.array([x for f in found for x in f[3]], dtype=np.int64)
-            pairs, links = np.unique(links, return_inverse=True)
-            counts = np.bincount(links, weights=np.repeat(times, n_links), minlength=len(pairs)).astype(np.int64)
+            pairs, links = np.unique(found.links, return_inverse=True)
+            counts = np.bincount(links, weights=np.repeat(times, found.n_links), minlength=len(pairs)).astype(np.int64)
             yield pa.RecordBatch.from_pylist([{
                 "slice": next(numbers), "doc_id": part.column("doc_id"), "n_units": [len(d) for d in streams],
-                "n_a": [n_a[d].sum() for d in streams], "n_b": [n_b[d].sum() for d in streams], "stream": pack(stream),
-                "unit_groups": [f[2] or "" for f in found], "unit_links": n_links, "links": pack(links), "pair": pairs, "n": counts,
+                "n_a": [found.n_a[d].sum() for d in streams], "n_b": [found.n_b[d].sum() for d in streams], "stream": pack(stream),
+                "unit_groups": found.texts, "unit_links": found.n_links, "links": pack(links), "pair": pairs, "n": counts,
             }], schema=_ARROW)
 
     return run

@@ -17,6 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class Numbers(dict):
+    """Keys numbered in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 def slice_numbers():
     """Numbers for the slices of one task, different from those of all other tasks of the stage."""
     at = TaskContext.get().partitionId() << 32
