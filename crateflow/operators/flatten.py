@@ -9,6 +9,8 @@ or empty list yields no rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +78,18 @@ def quarantine(parsed: DataFrame, id_col: str = "id", col: str = "raw") -> DataF
     return bad.select(F.col(id_col).alias("payload_id"), F.length(col).alias("n_chars"))
 
 
+def _one_per(rows: DataFrame, keys: tuple[str, ...], col: str = "raw") -> DataFrame:
+    first = F.min_by(F.struct(*rows.columns), F.struct(F.xxhash64(col), F.col(col)))
+    names = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
+    return rows.groupBy(*names).agg(first.alias("__row")).select("__row.*")
+
+
 def one_per_id(parsed: DataFrame, key: str = "doc.id", col: str = "raw") -> DataFrame:
     """One good document for each value of ``key``: of several, the one whose text has the least hash (then the least text).
 
     Bad copies are taken out first, so they never displace a good one.
     """
-    first = F.min_by(F.struct(*parsed.columns), F.struct(F.xxhash64(col), F.col(col)))
-    return good(parsed).groupBy(F.col(key).alias("__id")).agg(first.alias("__row")).select("__row.*")
+    return _one_per(good(parsed), (key,), col)
 
 
 def parse_pages(pages: DataFrame, col: str = "raw") -> DataFrame:
@@ -90,10 +97,21 @@ def parse_pages(pages: DataFrame, col: str = "raw") -> DataFrame:
     return pages.withColumn("items", F.from_json(col, ARTIST_PAGE_SCHEMA))
 
 
+def _page_is_good() -> Column:
+    return F.col("items").isNotNull() & F.col("id_artist").isNotNull() & F.col("page").isNotNull()
+
+
+def _good_pages(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(_page_is_good())
+
+
+def _bad_pages(parsed: DataFrame, col: str = "raw") -> DataFrame:
+    return parsed.filter(~_page_is_good()).select("id_artist", "page", F.length(col).alias("n_chars"))
+
+
 def quarantine_pages(pages: DataFrame, col: str = "raw") -> DataFrame:
-    """E26 for pages: those whose text is not a list of releases, with artist, page and size."""
-    bad = parse_pages(pages, col).filter(F.col("items").isNull())
-    return bad.select("id_artist", "page", F.length(col).alias("n_chars"))
+    """E26 for pages: those without an artist or number, or whose text is not a list of releases, with their size."""
+    return _bad_pages(parse_pages(pages, col), col)
 
 
 def _stamp(df: DataFrame, dt_loaded: Column | None) -> DataFrame:
@@ -195,7 +213,7 @@ def flatten_artist(parsed, dt_loaded=None):
 
 def flatten_artist_masters(pages: DataFrame, dt_loaded=None):
     """Every page of an artist's releases (all pages, the last included); bad pages are in ``quarantine_pages``."""
-    x = parse_pages(pages).select("id_artist", F.explode("items").alias("x"))
+    x = _good_pages(parse_pages(pages)).select("id_artist", F.explode("items").alias("x"))
     return _stamp(x.select(
         "id_artist", F.col("x.id").alias("id_master"), F.col("x.title").alias("title"),
         F.col("x.type").alias("type"), F.col("x.main_release").alias("id_main_release"),
@@ -203,6 +221,11 @@ def flatten_artist_masters(pages: DataFrame, dt_loaded=None):
         F.col("x.thumb").alias("url_thumb")), dt_loaded)
 
 
+def flatten_artist_pages(pages: DataFrame, dt_loaded=None):
+    """Which pages of which artists were loaded."""
+    return _stamp(_good_pages(parse_pages(pages)).select("id_artist", "page"), dt_loaded)
+
+
 def flatten_artist_images(parsed, dt_loaded=None):
     """E17 (NULL list allowed)."""
     return _stamp(_explode(parsed, "id_artist", "images").select(
@@ -306,10 +329,42 @@ MASTER_SINKS = {
     "master_videos": flatten_master_videos,
 }
 ITEM_SINKS = {"collection_items": flatten_collection_item}
-# entity -> (payload schema, key of its tables, the same in the document, sinks, tables that every load appends to)
+PAGE_SINKS = {"artist_pages": flatten_artist_pages, "artist_masters": flatten_artist_masters}
+
+
+@dataclass(frozen=True)
+class Entity:
+    """A kind of landed document: how it is parsed, what names it, and the tables it fills."""
+
+    schema: str
+    keys: tuple[str, ...]  # key columns of its first table
+    doc_keys: tuple[str, ...]  # the same in a parsed document
+    sinks: dict  # table -> flattener; the first table says which documents are loaded
+    always: frozenset = frozenset()  # tables that every load appends to
+    paged: bool = False  # several documents (pages) for one id
+
+    def landed(self, raw: DataFrame) -> DataFrame:
+        """Payload rows as landing columns: id, raw, and page where documents are pages."""
+        if not self.paged:
+            return raw.select("id", "raw")
+        return raw.select(F.col("id_artist" if "id_artist" in raw.columns else "id").alias("id_artist"), "page", "raw")
+
+    def parsed(self, raw: DataFrame) -> DataFrame:
+        rows = self.landed(raw)
+        return parse_pages(rows).withColumn("doc", F.struct("id_artist", "page")) if self.paged else parse(rows, self.schema)
+
+    def one_each(self, parsed: DataFrame) -> DataFrame:
+        """One good document for each key: see ``one_per_id``."""
+        return _one_per(_good_pages(parsed) if self.paged else good(parsed), self.doc_keys)
+
+    def bad(self, parsed: DataFrame) -> DataFrame:
+        return _bad_pages(parsed) if self.paged else quarantine(parsed)
+
+
 ENTITIES = {
-    "release": (RELEASE_SCHEMA, "id_release", "doc.id", RELEASE_SINKS, {"release_stats"}),
-    "artist": (ARTIST_SCHEMA, "id_artist", "doc.id", ARTIST_SINKS, set()),
-    "master": (MASTER_SCHEMA, "id_master", "doc.id", MASTER_SINKS, {"master_stats"}),
-    "item": (ITEM_SCHEMA, "id_instance", "doc.instance_id", ITEM_SINKS, set()),
+    "release": Entity(RELEASE_SCHEMA, ("id_release",), ("doc.id",), RELEASE_SINKS, frozenset({"release_stats"})),
+    "artist": Entity(ARTIST_SCHEMA, ("id_artist",), ("doc.id",), ARTIST_SINKS),
+    "artist_page": Entity(ARTIST_PAGE_SCHEMA, ("id_artist", "page"), ("doc.id_artist", "doc.page"), PAGE_SINKS, paged=True),
+    "master": Entity(MASTER_SCHEMA, ("id_master",), ("doc.id",), MASTER_SINKS, frozenset({"master_stats"})),
+    "item": Entity(ITEM_SCHEMA, ("id_instance",), ("doc.instance_id",), ITEM_SINKS),
 }

@@ -18,12 +18,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from crateflow.operators import derive as D
+from crateflow.operators import group_tasks as T
 from crateflow.operators.components import connected
-from crateflow.session import cut_lineage, drop_scratch
+from crateflow.session import cut_lineage, drop_scratch, scratch_path
+
+#: rows (vertices, edges, hub memberships) up to which a group is worked on inside one task
+TASK_ROWS = 1 << 18
 
 
 @dataclass
@@ -170,60 +178,136 @@ def neighbourhood(g: Graph, seeds: DataFrame, k: int = 2) -> DataFrame:
     return reached.groupBy("id").agg(F.min("dist").alias("dist"))
 
 
+class _Layers:
+    """The layers of a search, each written once under its distance; all are read back as one table."""
+
+    def __init__(self, spark, name: str, schema: str):
+        self.spark, self.path, self.schema = spark, scratch_path(spark, name), schema
+
+    def put(self, df: DataFrame, dist: int) -> DataFrame:
+        at = f"{self.path}/dist={dist}"
+        df.write.parquet(at)
+        return self.spark.read.schema(self.schema).parquet(at)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, dist int").parquet(self.path)
+
+
 def seed_distances(g: Graph, sources: DataFrame) -> DataFrame:
     """(seed, id, dist): breadth-first search from every source separately, until nothing new is reached.
 
     The state has a row for each source and vertex, so ``sources`` is a
-    bounded set given by the caller.
+    bounded set given by the caller. A neighbour of a layer lies in it, in the
+    one before or in the next one, so a round looks at two layers only.
     """
-    states = _ckpt(sources.select(F.col("id").alias("seed"), "id").distinct().withColumn("dist", F.lit(0)))
-    frontier, d = states.select("seed", "id"), 0
-    while not frontier.isEmpty():
+    layers = _Layers(g.spark, "search", "seed bigint, id bigint")
+    last = layers.put(sources.select(F.col("id").alias("seed"), "id").distinct(), 0)
+    before, d = last.limit(0), 0
+    while not last.isEmpty():
         d += 1
-        new = _ckpt(_neighbours(g, frontier, ["seed"]).join(states.select("seed", "id"), ["seed", "id"], "left_anti"))
-        states = states.unionByName(new.withColumn("dist", F.lit(d)))
-        frontier = new
-    return _ckpt(states)
+        known = last.unionByName(before)
+        before, last = last, layers.put(_neighbours(g, last, ["seed"]).join(known, ["seed", "id"], "left_anti"), d)
+    return layers.all()
 
 
 def shortest_path_connectors(g: Graph, sources: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Every vertex on some shortest path from a source to a seed (both ends included).
+    """G5 from given sources: every vertex on some shortest path from a source to a seed (both ends included).
 
     All shortest paths are taken (a superset of the single, tie-dependent
     path a sequential library returns). ``sources`` is a bounded set, as for
     the similarity of given artists: the search state has a row for each
     source and vertex. The path vertices come from a walk back from the
-    seeds, one hop nearer to the source each round; a hub is expanded once
+    seeds, one layer nearer to the source each round; a hub is expanded once
     for each (source, distance), so its cost is linear in its members.
     """
     states = seed_distances(g, sources)
-    current = _ckpt(states.join(seeds.select("id").distinct(), "id", "left_semi"))
-    found = current
-    while not current.isEmpty():
-        nearer = _neighbours(g, current.select("seed", "dist", "id"), ["seed", "dist"]).withColumn("dist", F.col("dist") - 1)
-        step = nearer.join(states, ["seed", "id", "dist"], "left_semi")
-        current = _ckpt(step.join(found, ["seed", "id", "dist"], "left_anti"))
-        found = found.unionByName(current.select(*found.columns))
-    return found.select("id").unionByName(sources.select("id")).distinct()
+    goals = seeds.select("id").distinct()
+    far = states.join(goals, "id", "left_semi").agg(F.max("dist")).first()[0]
+    found = _Layers(g.spark, "paths", "seed bigint, id bigint")
+    farther = None
+    for d in range(-1 if far is None else far, -1, -1):
+        layer = states.where(F.col("dist") == d).select("seed", "id")
+        now = layer.join(goals, "id", "left_semi").select("seed", "id")
+        if farther is not None:
+            now = now.unionByName(layer.join(_neighbours(g, farther, ["seed"]), ["seed", "id"], "left_semi")).distinct()
+        farther = found.put(now, d)
+    ends = sources.select("id")
+    return ends.distinct() if far is None else found.all().select("id").unionByName(ends).distinct()
+
+
+def nearest_seeds(g: Graph, seeds: DataFrame) -> DataFrame:
+    """(id, lo, hi, dist): each reached vertex's distance to the nearest seed, and the least and largest id of its nearest seeds.
+
+    One search from all seeds at once: every vertex is reached once, every
+    edge and membership is passed once, whatever the number of seeds.
+    """
+    layers = _Layers(g.spark, "regions", "id bigint, lo bigint, hi bigint")
+    last = layers.put(seeds.select("id").distinct().select("id", F.col("id").alias("lo"), F.col("id").alias("hi")), 0)
+    before, d = last.limit(0), 0
+    while not last.isEmpty():
+        d += 1
+        known = last.select("id").unionByName(before.select("id"))
+        before, last = last, layers.put(_spread(g, last).join(known, "id", "left_anti"), d)
+    return layers.all()
+
+
+def _span(df: DataFrame, by: str) -> DataFrame:
+    return df.groupBy(by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _spread(g: Graph, frontier: DataFrame) -> DataFrame:
+    """(id, lo, hi) one hop on: the span of the labels that reach each vertex; a hub passes on the span of its members."""
+    direct = frontier.join(g.edges.withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id"), "lo", "hi")
+    hubs = _span(frontier.join(g.hubs, "id").select("hub", "lo", "hi"), "hub")
+    return _span(direct.unionByName(hubs.join(g.hubs, "hub").select("id", "lo", "hi")), "id")
+
+
+def region_connectors(g: Graph, seeds: DataFrame) -> DataFrame:
+    """The vertices that connect the seeds with each other, the seeds included: (id).
+
+    Every vertex belongs to the region of its nearest seeds. Where two
+    regions meet (an edge or a hub with vertices of different nearest seeds,
+    or a vertex with several), all shortest ways from there back to the
+    nearest seeds are kept. So whatever seeds are connected stay connected,
+    every shortest path between the seeds of neighbouring regions stays, and
+    with it a shortest network over all seeds. One search and one walk back,
+    linear in edges and memberships, with no bound on the number of seeds.
+    """
+    seeds = _ckpt(seeds.select("id").distinct())
+    region = nearest_seeds(g, seeds)
+    span = region.select("id", "lo", "hi")
+    # a vertex meets another region if the labels at one of its edges or hubs, its own included, are not all the same
+    at_edges = _span(g.edges.join(span, g.edges.src == F.col("id")).select(F.col("dst").alias("id"), "lo", "hi")
+                     .unionByName(span), "id").where("lo <> hi").select("id")
+    members = g.hubs.join(span, "id")
+    mixed = _span(members, "hub").where("lo <> hi").select("hub")
+    meets = _ckpt(at_edges.unionByName(members.join(mixed, "hub", "left_semi").select("id")).distinct())
+    far = region.join(meets, "id", "left_semi").agg(F.max("dist")).first()[0]
+    found, farther = _Layers(g.spark, "connectors", "id bigint"), None
+    for d in range(-1 if far is None else far, -1, -1):
+        layer = region.where(F.col("dist") == d).select("id")
+        now = layer.join(meets, "id", "left_semi")
+        if farther is not None:
+            now = now.unionByName(layer.join(_neighbours(g, farther, []), "id", "left_semi")).distinct()
+        farther = found.put(now, d)
+    return seeds if far is None else found.all().select("id").unionByName(seeds).distinct()
 
 
 def top_sources(g: Graph, k: int = 10) -> DataFrame:
-    """The ``k`` collected vertices with the largest degree (ties by id): the sources of G5 to G7."""
+    """The ``k`` collected vertices with the largest degree (ties by id): given sources for a page of paths."""
     collected = g.vertices.filter(F.col("in_collection") == 1).select("id")
     return _ckpt(vertex_degree(g).join(collected, "id", "left_semi").orderBy(F.col("degree").desc(), "id").limit(k).select("id"))
 
 
-def relevant_vertices(g: Graph, k: int = 2, sources: DataFrame | None = None) -> DataFrame:
-    """G4 of all collected vertices, and G5 from ``sources`` (default ``top_sources``) to all collected ones."""
+def relevant_vertices(g: Graph, k: int = 2) -> DataFrame:
+    """G4 of all collected vertices, and G5 between all of them."""
     seeds = g.vertices.filter(F.col("in_collection") == 1).select("id")
-    sources = top_sources(g) if sources is None else sources
-    near = neighbourhood(g, seeds, k).select("id")
-    return near.unionByName(shortest_path_connectors(g, sources, seeds)).distinct()
+    return neighbourhood(g, seeds, k).select("id").unionByName(region_connectors(g, seeds)).distinct()
 
 
-def artist_ignore(g: Graph, k: int = 2, sources: DataFrame | None = None) -> DataFrame:
-    """Vertices neither near a collected vertex nor on a path from a source to one."""
-    keep = _ckpt(relevant_vertices(g, k, sources))
+def artist_ignore(g: Graph, k: int = 2) -> DataFrame:
+    """Vertices neither near a collected vertex nor connecting collected ones."""
+    keep = _ckpt(relevant_vertices(g, k))
     return g.vertices.select(F.col("id").alias("id_artist")).join(
         keep.withColumnRenamed("id", "id_artist"), "id_artist", "left_anti")
 
@@ -274,33 +358,140 @@ def within_groups(g: Graph, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, members.join(several, ["grp", "hub"], "left_semi")
 
 
-def eigenvector_centrality(g: Graph, groups: DataFrame | None = None, tol: float = 1e-6) -> DataFrame:
+def group_rows(g: Graph, groups: DataFrame) -> DataFrame:
+    """(grp, kind, a, b): vertices with their collection flag, edges and memberships inside the groups of (id, grp), as ``group_tasks`` takes them."""
+    edges, members = within_groups(g, groups)
+    row = lambda kind, a, b: ("grp", F.lit(kind).alias("kind"), F.col(a).cast("bigint").alias("a"),
+                              F.col(b).cast("bigint").alias("b"))
+    flags = groups.select("id", "grp").join(g.vertices.select("id", F.coalesce("in_collection", F.lit(0)).alias("flag")), "id")
+    return (flags.select(*row(T.VERTEX, "id", "flag")).unionByName(edges.select(*row(T.EDGE, "src", "dst")))
+            .unionByName(members.select(*row(T.MEMBER, "hub", "id"))))
+
+
+def by_size(rows: DataFrame, task_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups that fit a task, and (grp) of the larger ones."""
+    large = _ckpt(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_rows).select("grp"))
+    return rows.join(large, "grp", "left_anti"), large
+
+
+def in_tasks(rows: DataFrame, run, more: str) -> DataFrame:
+    """(id, grp, ``more``) of ``run(group, key)`` for each group of ``rows``; it yields arrays of ids and of the further columns."""
+    schema = StructType([StructField("id", LongType()), rows.schema["grp"], *StructType.fromDDL(more)])
+    arrow = to_arrow_schema(schema)
+
+    def task(key, table):
+        group = T.Group.of_rows(*(table[c].to_numpy() for c in ("kind", "a", "b")))
+        parts = list(run(group, key[0].as_py()))
+        columns = [np.concatenate([np.broadcast_to(p[i], len(p[0])) for p in parts]) for i in range(len(arrow) - 1)]
+        columns.insert(1, [key[0].as_py()] * len(columns[0]))
+        return pa.table([pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
+
+    return rows.groupBy("grp").applyInArrow(task, schema)
+
+
+def eigenvector_centrality(g: Graph, groups: DataFrame | None = None, tol: float = 1e-6,
+                           task_rows: int = TASK_ROWS) -> DataFrame:
     """(id, grp, eigenvalue) for each group of (id, grp); without groups all vertices are group 0.
 
     Defined score: the leading eigenvector, scaled to maximum 1 in a group,
     of the weighted graph where two vertices are joined with weight 1 for an
-    explicit edge and 1 for each hub they share. Power iteration on A + I (A
-    alone oscillates on bipartite graphs); the hub part of A x is the sum of
-    a hub less the vertex's own value, so no pair of members is formed.
-    Runs until no value changes by ``tol`` or more in a round; every round's
-    table replaces the one before.
+    explicit edge and 1 for each hub they share; the hub part of A x is the
+    sum of a hub less the vertex's own value, so no pair of members is formed.
+    Found by Lanczos iteration until the residual of each group is small
+    against its eigenvalue and the gap to the next one (see
+    ``group_tasks.leading_vector``): groups of up to ``task_rows`` rows inside
+    one task each, larger ones by one job for each step.
     """
     groups = g.vertices.select("id", F.lit(0).alias("grp")) if groups is None else groups.select("id", "grp")
-    edges, members = map(_ckpt, within_groups(g, groups))
-    x, change = _ckpt(groups.withColumn("x", F.lit(1.0)).withColumn("change", F.lit(1.0))), 1.0
-    while change is not None and change >= tol:
-        own = members.join(x.select("id", "grp", "x"), ["id", "grp"])
-        total = own.groupBy("grp", "hub").agg(F.sum("x").alias("total"))
-        via_hub = own.join(total, ["grp", "hub"]).select("id", "grp", (F.col("total") - F.col("x")).alias("add"))
-        via_edge = (edges.join(x.select(F.col("id").alias("src"), "grp", "x"), ["src", "grp"])
-                    .select(F.col("dst").alias("id"), "grp", F.col("x").alias("add")))
-        spread = via_hub.unionByName(via_edge).groupBy("id", "grp").agg(F.sum("add").alias("add"))
-        y = x.join(spread, ["id", "grp"], "left").withColumn("y", F.col("x") + F.coalesce("add", F.lit(0.0)))
-        new = y.join(y.groupBy("grp").agg(F.max("y").alias("most")), "grp").withColumn("new", F.col("y") / F.col("most"))
-        # each round reads x several times: cut every round, or stacked rounds recompute
-        new = _ckpt(new.select("id", "grp", F.col("new").alias("x"), F.abs(F.col("new") - F.col("x")).alias("change")))
-        drop_scratch(x)
-        x, change = new, new.agg(F.max("change")).first()[0]
-    drop_scratch(edges)
-    drop_scratch(members)
-    return x.select("id", "grp", F.col("x").alias("eigenvalue"))
+    rows = _ckpt(group_rows(g, groups))
+    small, large = by_size(rows, task_rows)
+    out = in_tasks(small, lambda group, key: [(group.ids, T.leading_vector(group.times, group.n, tol))], "eigenvalue double")
+    if large.isEmpty():
+        return out
+    return out.unionByName(_lanczos(rows.join(large, "grp", "left_semi"), tol))
+
+
+def _times(edges: DataFrame, members: DataFrame, x: DataFrame) -> DataFrame:
+    """(id, grp, add): adjacency times x; vertices without a neighbour are missing."""
+    own = members.join(x, ["id", "grp"])
+    total = own.groupBy("grp", "hub").agg(F.sum("x").alias("total"))
+    via_hub = own.join(total, ["grp", "hub"]).select("id", "grp", (F.col("total") - F.col("x")).alias("add"))
+    via_edge = (edges.join(x.withColumnRenamed("id", "src"), ["src", "grp"])
+                .select(F.col("dst").alias("id"), "grp", F.col("x").alias("add")))
+    return via_hub.unionByName(via_edge).groupBy("id", "grp").agg(F.sum("add").alias("add"))
+
+
+def _ritz(tol: float, floor: float = 1e-10):
+    """For a group's projected matrix: the leading vector's coefficients and whether its residual is small enough."""
+    def task(key, table):
+        steps = sorted(table.to_pylist(), key=lambda r: r["k"])
+        h = np.zeros((len(steps), len(steps)))
+        used = len(steps)
+        for r in steps:
+            h[: r["k"] + 1, r["k"]] = r["c"]
+            if r["norm"] == 0:
+                used = min(used, r["k"] + 1)  # the directions so far span all that can be reached
+        h = h[:used, :used]
+        h = np.triu(h) + np.triu(h, 1).T
+        values, y = np.linalg.eigh(h)
+        top, best = values[-1], y[:, -1]
+        residual = steps[used - 1]["norm"] * abs(best[-1])
+        gap = top - values[-2] if used > 1 else 0.0
+        done = residual == 0 or (residual <= tol * top and residual <= max(tol * gap, floor * top))
+        y = np.zeros(len(steps))
+        y[:used] = best
+        return pa.table({"grp": [key[0].as_py()], "y": [y.tolist()], "done": [bool(done)]},
+                        schema=pa.schema([("grp", table.schema.field("grp").type), ("y", pa.list_(pa.float64())), ("done", pa.bool_())]))
+
+    return task
+
+
+def _lanczos(rows: DataFrame, tol: float, steps: int = 16) -> DataFrame:
+    """Leading vectors of all groups of ``rows`` at once, one job for each step; groups that are done leave.
+
+    A row holds a vertex's entries of the directions so far; restarted with the
+    best vector after ``steps`` directions. One row for each group and step holds the projected matrix.
+    """
+    edges = rows.where(F.col("kind") == T.EDGE).select(F.col("a").alias("src"), F.col("b").alias("dst"), "grp")
+    members = rows.where(F.col("kind") == T.MEMBER).select("grp", F.col("a").alias("hub"), F.col("b").alias("id"))
+    vertices = rows.where(F.col("kind") == T.VERTEX).select(F.col("a").alias("id"), "grp")
+    n = vertices.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    state = _ckpt(vertices.join(n, "grp").select("id", "grp", F.array(1 / F.sqrt("n")).alias("v")))
+    done_parts = []
+    while not state.isEmpty():
+        columns = []
+        for k in range(steps):
+            x = state.select("id", "grp", F.col("v")[k].alias("x"))
+            w = state.join(_times(edges, members, x), ["id", "grp"], "left").withColumn("w", F.coalesce("add", F.lit(0.0)))
+            w = _ckpt(w.select("id", "grp", "v", "w"))
+            dots = _ckpt(w.groupBy("grp").agg(F.array(*(F.sum(F.col("v")[j] * F.col("w")) for j in range(k + 1))).alias("c"),
+                                              F.sum(F.col("w") * F.col("w")).alias("ww")))
+            rest = w.join(dots, "grp").withColumn("r", F.aggregate(
+                F.zip_with("v", "c", lambda a, b: a * b), F.col("w"), lambda s, p: s - p))
+            norms = rest.groupBy("grp").agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.first("ww").alias("ww"), F.first("c").alias("c"))
+            norms = _ckpt(norms.select("grp", "c", F.when(F.col("rr") > 1e-26 * F.col("ww"), F.sqrt("rr")).otherwise(0.0).alias("norm")))
+            columns.append(norms.withColumn("k", F.lit(k)))
+            old = state
+            if k + 1 < steps:
+                new = F.when(F.col("norm") > 0, F.col("r") / F.col("norm")).otherwise(0.0)
+                state = rest.drop("c", "ww").join(norms.select("grp", "norm"), "grp").select("id", "grp", F.array_append("v", new).alias("v"))
+                state = _ckpt(state)
+            for df in (dots, w, *((old,) if old is not state else ())):
+                drop_scratch(df)
+        projected = columns[0]
+        for c in columns[1:]:
+            projected = projected.unionByName(c)
+        schema = StructType([rows.schema["grp"], *StructType.fromDDL("y array<double>, done boolean")])
+        best = _ckpt(projected.groupBy("grp").applyInArrow(_ritz(tol), schema))
+        dot = F.aggregate(F.zip_with("v", "y", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
+        x = _ckpt(state.join(best, "grp").select("id", "grp", "done", dot.alias("x")))
+        ready = x.where("done")
+        most = ready.groupBy("grp").agg(F.max(F.abs("x")).alias("most"))
+        done_parts.append(ready.join(most, "grp").select("id", "grp", (F.abs("x") / F.col("most")).alias("eigenvalue")))
+        left = x.where(~F.col("done"))
+        size = left.groupBy("grp").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+        state = _ckpt(left.join(size, "grp").select("id", "grp", F.array(F.col("x") / F.col("size")).alias("v")))
+    out = done_parts[0]
+    for part in done_parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crateflow.functions.nest import nest_by_key
+from crateflow.functions.nest import nest_by_key, nest_in_parts
 from crateflow.operators import catalog as C
 from crateflow.operators import derive as D
 from crateflow.operators import flatten as FL
@@ -212,9 +212,9 @@ def e23b(m):
 
 
 @register("e23c_incremental_load_master", """SELECT DISTINCT r.id_master, g.name_genre FROM release r
-JOIN release_genres g ON g.id_release = r.id_release WHERE r.id_master NOT IN (SELECT id_master FROM collection_items)""")
+JOIN release_genres g ON g.id_release = r.id_release WHERE r.id_master NOT IN (SELECT id_master FROM collection_items WHERE rating > 3)""")
 def e23c(m):
-    loaded = m.t("collection_items").select("id_master")
+    loaded = m.t("collection_items").filter("rating > 3").select("id_master")
     return L.incremental_load(_payload(m, "master", PL.master_payloads), loaded, "master")["master_genres"]
 
 
@@ -234,7 +234,9 @@ def _counts_sql() -> str:
     counts = {t: f"FROM {t}" for t in (
         "collection_items", "release", "release_artists", "release_labels", "release_formats", "release_credits", "release_stats",
         "release_genres", "release_styles", "release_tracks", "release_videos", "artist")}
-    counts |= {t: f"FROM {t} {known}" for t in ("artist_images", "artist_groups", "artist_aliases", "artist_members", "artist_urls")}
+    counts |= {t: f"FROM {t} {known}" for t in ("artist_images", "artist_groups", "artist_aliases", "artist_members", "artist_urls",
+                                                         "artist_masters")}
+    counts["artist_pages"] = f"FROM (SELECT DISTINCT id_artist, floor(id_master / {PL.PAGE_SPAN}) FROM artist_masters {known})"
     counts |= {"release_track_artists": played, "master": "FROM master_main", "master_tracks": main.format("release_tracks"),
                "master_videos": main.format("release_videos"), "master_genres": mine.format("release_genres", "name_genre"),
                "master_styles": mine.format("release_styles", "name_style"),
@@ -247,7 +249,8 @@ def _counts_sql() -> str:
 
 def _landed(m):
     return {"item": _payload(m, "item", PL.item_payloads), "release": _payload(m, "release", PL.release_payloads),
-            "artist": _payload(m, "artist", PL.artist_payloads), "master": _payload(m, "master", PL.master_payloads)}
+            "artist": _payload(m, "artist", PL.artist_payloads), "artist_page": _payload(m, "artist_pages", PL.artist_release_pages),
+            "master": _payload(m, "master", PL.master_payloads)}
 
 
 @register("e27_ingest_all", _counts_sql())
@@ -258,9 +261,9 @@ def e27(m):
 @register("e25_ingest_without_masters", """SELECT 'artist' AS "table", COUNT(*) AS qty_rows FROM artist
 UNION ALL SELECT 'artist_urls', COUNT(*) FROM artist_urls SEMI JOIN artist USING (id_artist)""")
 def e25(m):
-    landed = {k: v for k, v in _landed(m).items() if k in ("artist", "master")}
+    landed = {k: v for k, v in _landed(m).items() if k in ("artist", "artist_page")}
     out = L.ingest_all(landed, scratch_path(m.spark, "ingest"), process_masters=False)
-    return out.filter(F.col("table").isin("artist", "artist_urls") | F.col("table").startswith("master"))
+    return out.filter(F.col("table").isin("artist", "artist_urls", "artist_masters", "artist_pages"))
 
 
 # ---- table management ---------------------------------------------------------------
@@ -313,6 +316,14 @@ def t14(m):
     return io.read_snapshot_as_of(m.spark, _snapshots(m), "artist", version=1)
 
 
+@register("t14b_read_snapshot_as_of_time", "SELECT id_artist, name_artist, profile FROM artist")
+def t14b(m):
+    """The backup as of the time of the first version."""
+    root = _snapshots(m)
+    first = io.snapshot_versions(m.spark, root, "artist").orderBy("version").first().published_at
+    return io.read_snapshot_as_of(m.spark, root, "artist", as_of=first)
+
+
 @register("t15_nest_by_key", f"""SELECT id_release, {canon(['position', 'title', 'duration'])} AS tracks
 FROM release_tracks GROUP BY id_release""")
 def t15(m):
@@ -320,6 +331,14 @@ def t15(m):
     return C.nested_to_text(nested, "tracks", ["position", "title", "duration"])
 
 
+@register("t15b_nest_in_parts", f"""SELECT id_release, CAST((nth - 1) // 2 AS INTEGER) AS part, {canon(['position', 'title', 'duration'])} AS tracks
+FROM (SELECT *, row_number() OVER (PARTITION BY id_release ORDER BY position NULLS FIRST, title NULLS FIRST, duration NULLS FIRST) AS nth
+      FROM release_tracks) GROUP BY id_release, (nth - 1) // 2""")
+def t15b(m):
+    nested = nest_in_parts(m.t("release_tracks"), "id_release", "tracks", 2, ["position", "title", "duration"])
+    return C.nested_to_text(nested, "tracks", ["position", "title", "duration"])
+
+
 @register("s1_stream_ingest", _REL)
 def s1(m):
     """Land the release payloads as files (two drops), stream them in, land all of
@@ -337,6 +356,29 @@ def s1(m):
     return read_loaded(m.spark, target, "release").drop("dt_loaded")
 
 
+@register("s2_stream_all_entities", _counts_sql().replace("SELECT '_quarantine_item'", "SELECT '_dead_letter', 0 UNION ALL SELECT '_quarantine_item'"))
+def s2(m):
+    """Documents of all entities land as JSON lines in two drops, one stream loads them, then all land once more."""
+    from crateflow.streaming.ingest import stream_ingest
+
+    base = scratch_path(m.spark, "stream")
+    landing, target, ckpt = f"{base}/landing", f"{base}/target", f"{base}/_checkpoint"
+    tagged = None
+    for entity, df in _landed(m).items():
+        key, page = ("id_artist", F.col("page")) if entity == "artist_page" else ("id", F.lit(None).cast("bigint"))
+        part = df.select(F.lit(entity).alias("entity"), F.col(key).alias("id"), page.alias("page"), "raw")
+        tagged = part if tagged is None else tagged.unionByName(part)
+    tagged.filter(F.pmod("id", F.lit(2)) == 0).write.json(f"{landing}/drop=1")
+    stream_ingest(m.spark, landing, target, ckpt, entity=None, form="json")
+    tagged.filter(F.pmod("id", F.lit(2)) == 1).write.json(f"{landing}/drop=2")
+    stream_ingest(m.spark, landing, target, ckpt, entity=None, form="json")
+    out = None
+    for name in sorted({t for r in L.load_log(m.spark, target).entries().select("tables").collect() for t in r.tables}):
+        part = read_loaded(m.spark, target, name).agg(F.count(F.lit(1)).alias("qty_rows")).select(F.lit(name).alias("table"), "qty_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("e22d_flatten_master_styles", """SELECT DISTINCT r.id_master, s.name_style FROM release r
 JOIN release_styles s ON s.id_release = r.id_release""")
 def e22d(m):

@@ -1,18 +1,19 @@
 """Table management: scans, SQL, appends, overwrites, snapshots.
 
-Storage is parquet directories (or catalog tables); nothing here is a
-storage engine — versioned snapshots are plain directories plus a small
-log table that says which version is current.
+Storage is parquet directories (or catalog tables); versioned snapshots are
+plain directories plus a log that says which one each version is.
 """
 
 from __future__ import annotations
 
-import re
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from crateflow.sources.commits import CommitConflict, CommitLog, delete_path, fresh_name, remove_unnamed
+
 
 def scan_table(spark: SparkSession, path_or_name: str) -> DataFrame:
     """Full scan of a parquet path or a catalog table / view."""
@@ -31,13 +32,49 @@ def execute_sql(spark: SparkSession, statement: str) -> None:
     spark.sql(statement)
 
 
-_STATEMENT = re.compile(r"""(?:[^;'"`-]|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|-)+""")
+# what opens a part of a script in which ';' means nothing, and what closes it
+_CLOSING = {"'": "'", '"': '"', "`": "`", "--": "\n", "/*": "*/"}
+
+
+def _skip(script: str, at: int, opening: str) -> int:
+    """The place after the part that ``opening`` begins at ``at``."""
+    close, i = _CLOSING[opening], at + len(opening)
+    depth = 1
+    while i < len(script):
+        if opening in "'\"" and script[i] == "\\":  # the next sign is escaped
+            i += 2
+        elif opening == "/*" and script.startswith("/*", i):  # comments nest
+            depth, i = depth + 1, i + 2
+        elif script.startswith(close, i):
+            depth, i = depth - 1, i + len(close)
+            if not depth:
+                return i
+        else:
+            i += 1
+    if opening == "--":
+        return len(script)
+    raise ValueError(f"{opening} at sign {at + 1} of the script is never closed")
 
 
 def statements(script: str) -> list[str]:
-    """The statements of a script; a ';' inside a literal, a quoted name or a comment does not end one."""
-    found = (re.sub(r"(?m)^\s*--[^\n]*$", "", s).strip() for s in _STATEMENT.findall(script))
-    return [s for s in found if s]
+    """The statements of a script, comments taken out; a ';' in a literal, a quoted name or a comment ends none.
+
+    Literals may hold escaped or doubled quotes, block comments may nest; a
+    quote or block comment that is never closed raises ``ValueError``.
+    """
+    found, own, i = [], "", 0
+    while i < len(script):
+        opening = next((o for o in _CLOSING if script.startswith(o, i)), None)
+        if opening:
+            end = _skip(script, i, opening)
+            own += script[i:end] if len(opening) == 1 else "\n" if opening == "--" else " "
+            i = end
+        elif script[i] == ";":
+            found.append(own.strip())
+            own, i = "", i + 1
+        else:
+            own, i = own + script[i], i + 1
+    return [s for s in [*found, own.strip()] if s]
 
 
 def run_script(spark: SparkSession, script: str) -> list[DataFrame]:
@@ -93,38 +130,52 @@ def add_column_if_missing(df: DataFrame, name: str, dtype: str) -> DataFrame:
 
 # ---- snapshots (T13, T14) --------------------------------------------------------
 
-def _log_path(root: str, name: str) -> str:
-    return f"{root}/{name}/_log"
+def _versions(spark: SparkSession, root: str, name: str) -> CommitLog:
+    return CommitLog(spark, f"{root}/{name}/_log", "data string")
 
 
 def snapshot_versions(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """(version, published_at) of every published snapshot."""
-    try:
-        return spark.read.parquet(_log_path(root, name))
-    except AnalysisException:
-        return spark.createDataFrame([], "version bigint, published_at timestamp")
+    """(version, published_at, data) of every published snapshot."""
+    return _versions(spark, root, name).entries().withColumnRenamed("committed_at", "published_at")
 
 
-def publish_snapshot(df: DataFrame, root: str, name: str) -> int:
-    """Write ``df`` as a new immutable version, then record it in the log.
+def publish_snapshot(df: DataFrame, root: str, name: str, expected: int | None = None) -> int:
+    """Write ``df`` as a new immutable version and return its number.
 
-    Readers of the current version never see a half-written table: the log
-    row is appended only after the data directory is complete.
+    The data goes to a folder of its own, then one log entry makes it the
+    current version: readers see the old version or the new one. A writer
+    that fails before its entry leaves nothing but that folder. Of two
+    writers at once both succeed, one after the other, unless ``expected``
+    names the version the data was made from: then the later one gets
+    ``CommitConflict`` and its data is removed.
     """
-    spark = df.sparkSession
-    last = snapshot_versions(spark, root, name).agg(F.max("version")).first()[0]
-    version = 1 if last is None else int(last) + 1
-    df.write.mode("errorifexists").parquet(f"{root}/{name}/v={version}")
-    (spark.createDataFrame([(version,)], "version bigint")
-     .withColumn("published_at", F.current_timestamp())
-     .write.mode("append").parquet(_log_path(root, name)))
+    spark, log = df.sparkSession, _versions(df.sparkSession, root, name)
+    data = fresh_name("data")
+    df.write.mode("errorifexists").parquet(f"{root}/{name}/{data}")
+    version = 1 + (log.last() if expected is None else expected)
+    while not log.put(version, {"data": data}):
+        if expected is not None:
+            delete_path(spark, f"{root}/{name}/{data}")
+            raise CommitConflict(f"{name} has a version {version} already")
+        version += 1
     return version
 
 
-def read_snapshot_as_of(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
-    """The current snapshot, or the one of a given version (backup)."""
-    if version is None:
-        version = snapshot_versions(spark, root, name).agg(F.max("version")).first()[0]
-        if version is None:
-            raise FileNotFoundError(f"no snapshot of {name} under {root}")
-    return spark.read.parquet(f"{root}/{name}/v={int(version)}")
+def read_snapshot_as_of(spark: SparkSession, root: str, name: str, version: int | None = None,
+                        as_of: datetime | str | None = None) -> DataFrame:
+    """The current snapshot, that of a given version, or the last one published at or before a time (a backup)."""
+    known = snapshot_versions(spark, root, name)
+    if version is not None:
+        known = known.where(F.col("version") == int(version))
+    if as_of is not None:
+        known = known.where(F.col("published_at") <= F.lit(as_of).cast("timestamp"))
+    row = known.orderBy(F.desc("version")).first()
+    if row is None:
+        raise FileNotFoundError(f"no such snapshot of {name} under {root}")
+    return spark.read.parquet(f"{root}/{name}/{row.data}")
+
+
+def remove_orphans(spark: SparkSession, root: str, name: str, older_than: float = 86400.0) -> list[str]:
+    """Delete data folders of writers that never published, if they are older than so many seconds."""
+    named = {r.data for r in snapshot_versions(spark, root, name).select("data").toLocalIterator()}
+    return remove_unnamed(spark, f"{root}/{name}", named, "data-", older_than)

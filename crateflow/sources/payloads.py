@@ -110,6 +110,14 @@ def referenced_artist_payloads(m, ids: DataFrame) -> DataFrame:
     return docs.select("id", F.to_json(F.struct("id", "name", "members", urls.alias("urls"))).alias("raw"))
 
 
+def referenced_artist_pages(m, ids: DataFrame) -> DataFrame:
+    """(id_artist, page, raw) of referenced artists: id modulo 4 masters each, one a page; some have pages but no document."""
+    own = ids.select("id_artist").distinct().withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    own = own.where(F.col("page") <= F.pmod("id_artist", F.lit(4)))
+    master = F.struct((F.col("id_artist") * 10 + F.col("page")).alias("id"), F.lit("master").alias("type"), F.lit("Main").alias("role"))
+    return own.select("id_artist", F.col("page").cast("bigint").alias("page"), F.to_json(F.array(master)).alias("raw"))
+
+
 def artist_release_pages(m) -> DataFrame:
     """(id_artist, page, raw) — paged artist releases, known artists only.
 

@@ -89,6 +89,57 @@ def test_neighbourhood_components_connectors(spark, seed):
     assert {r.id for r in G.shortest_path_connectors(g, sd.filter(f"id = {s}"), sd).collect()} == one | {s}
 
 
+def _regions(n, edges, hubs, seeds):
+    """Plain version of the connectors: nearest seeds, where they differ across an edge, all ways back."""
+    adj = _adj(n, edges, hubs)
+    dist = {s: _bfs(adj, s) for s in seeds}
+    near = {v: min((d[v] for d in dist.values() if v in d), default=None) for v in range(n)}
+    own = {v: {s for s in seeds if dist[s].get(v) == near[v]} for v in range(n) if near[v] is not None}
+    found = {v for v in own if len(own[v]) > 1 or any(own[u] != own[v] for u in adj[v])}
+    work = list(found)
+    while work:
+        v = work.pop()
+        for u in adj[v]:
+            if near[u] == near[v] - 1 and u not in found:
+                found.add(u)
+                work.append(u)
+    return found | set(seeds), adj, dist
+
+
+@pytest.mark.parametrize("seed", [21, 22, 23, 24])
+def test_region_connectors(spark, seed):
+    n, edges, hubs, seeds = _random(seed, n=24)
+    g = _graph(spark, edges, hubs, n, seeds)
+    want, adj, dist = _regions(n, edges, hubs, seeds)
+    got = {r.id for r in G.region_connectors(g, spark.createDataFrame([(s,) for s in seeds], "id long")).collect()}
+    assert got == want
+    # seeds that reach each other still do, and with the near vertices every shortest path of these graphs is kept
+    kept = {v: adj[v] & got for v in got}
+    assert all((t in _bfs(kept, s)) == (t in dist[s]) for s in seeds for t in seeds)
+    near = {v for s in seeds for v, d in dist[s].items() if d <= 2}
+    assert {v for s in seeds for t in seeds if t in dist[s] for v in dist[s] if dist[s][v] + dist[t].get(v, 99) == dist[s][t]} <= got | near
+
+
+def test_a_path_between_two_collected_artists_beside_many_hubs_stays(spark):
+    # ten collected artists with many neighbours each, and far from them a path 1..8 with collected ends
+    edges = [(i, i + 1) for i in range(1, 8)]
+    seeds, hubs, at = {1, 8}, [], 20
+    for h in range(10):
+        hubs += [(h, at + i) for i in range(6)]
+        seeds.add(at)
+        at += 6
+    g = _graph(spark, edges, hubs, at, seeds)
+    keep = {r.id for r in G.relevant_vertices(g).collect()}
+    assert set(range(1, 9)) <= keep and not {r.id_artist for r in G.artist_ignore(g).collect()} & set(range(1, 9))
+
+
+def test_connectors_without_seeds_or_with_one(spark):
+    g = _graph(spark, [(0, 1), (1, 2)], [], 3, set())
+    none = spark.createDataFrame([], "id long")
+    assert G.region_connectors(g, none).count() == 0 and G.relevant_vertices(g).count() == 0
+    assert [r.id for r in G.region_connectors(g, spark.createDataFrame([(1,)], "id long")).collect()] == [1]
+
+
 def test_connectors_path_example(spark):
     # path s-a-b-c-t, seeds s and t, radius 1: b is kept only by the path
     g = _graph(spark, [(0, 1), (1, 2), (2, 3), (3, 4)], [], 5, {0, 4})

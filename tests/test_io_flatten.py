@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from crateflow.operators import flatten as FL
@@ -60,7 +61,7 @@ def test_snapshots_and_helpers(spark):
     assert io.publish_snapshot(b, root, "t") == 2
     assert io.read_snapshot_as_of(spark, root, "t").count() == 2
     assert io.read_snapshot_as_of(spark, root, "t", 1).first()["v"] == "x"
-    assert io.table_exists(spark, f"{root}/t/v=1")
+    assert io.snapshot_versions(spark, root, "t").count() == 2
     assert not io.table_exists(spark, f"{root}/missing")
     assert "w" in io.add_column_if_missing(a, "w", "int").columns
     assert io.add_column_if_missing(a, "v", "int").schema == a.schema
@@ -88,6 +89,11 @@ def test_snapshots_and_helpers(spark):
 def test_script_statements():
     script = "SELECT ';' AS a; -- no; end\nSELECT \";\" , `;x`;\n;  SELECT 'it\\'s; me' - 1"
     assert io.statements(script) == ["SELECT ';' AS a", "SELECT \";\" , `;x`", "SELECT 'it\\'s; me' - 1"]
+    assert io.statements("select 1 /* a; b /* c; */ ; */; select 'x''y;' -- z; ;") == ["select 1", "select 'x''y;'"]
+    assert io.statements("a--b;c\nd;") == ["a\nd"] and io.statements(" ;; ") == [] and io.statements("a - b / c") == ["a - b / c"]
+    for broken in ("select 'x", 'select "x', "select `x", "select 1 /* x"):
+        with pytest.raises(ValueError):
+            io.statements(broken)
 
 
 def _mixed(spark):
@@ -121,8 +127,6 @@ def test_loads_are_idempotent(spark):
 
 
 def test_a_stream_that_fails_half_way_goes_on_whole(spark, monkeypatch):
-    import pytest
-
     from crateflow.streaming.ingest import stream_ingest
 
     base = scratch_path(spark, "stream-test")
