@@ -10,9 +10,8 @@ if the margin stays narrow, the answer is rejected.
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from crateflow.llm.common import extended, raw_texts, slices, with_text
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
 
 
@@ -96,7 +95,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", m
     """``docs`` with the predicted language, its margin as score, and whether the answer is accepted.
 
     Only the text is looked at. Defined cases: null, empty or letterless
-    texts, and all texts under an empty model, give ``und``, 0 and not
+    texts (numerals and signs such as ½ or Ⅷ are no letters), and all texts under an empty model, give ``und``, 0 and not
     accepted; a tie goes to the first language by name, with score 0 (so not
     accepted); with one language every text with a letter gets it with score
     1; the new columns replace columns of the same names, others pass

@@ -21,12 +21,17 @@ def _lines(text):
     return F.split(text, "\n", -1)
 
 
+def _bare(line):
+    """A line without blanks, tabs and carriage returns at its ends."""
+    return F.trim(line, F.lit(" \t\r"))
+
+
 def _key(line):
-    return F.xxhash64(F.trim(line))
+    return F.xxhash64(_bare(line))
 
 
 def _blank(line):
-    return F.trim(line) == ""
+    return _bare(line) == ""
 
 
 def boilerplate_lines(pages: DataFrame, host_col: str, text_col: str, max_ratio: float, min_pages: int) -> DataFrame:
@@ -51,8 +56,8 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     A line is boilerplate on a host if at least ``min_pages`` of the host's
     pages contain it and these are more than ``max_ratio`` of all its pages.
     The ratio decides at every size of host; ``min_pages`` only tells a repeat
-    from a page's own line, which on a small host is beyond any ratio. Lines are compared without outer spaces; blank lines are neither counted
-    nor dropped.
+    from a page's own line, which on a small host is beyond any ratio. Lines are compared without blanks, tabs and
+    carriage returns at their ends; blank lines are neither counted nor dropped.
 
     Defined cases: a page without a host keeps every line; a null text stays
     null, has no lines, and counts in its host's page total; a line that a page has

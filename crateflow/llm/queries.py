@@ -25,8 +25,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the floor of OP1_SQL, higher than the operator's own
-    out = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), min_pages=10)
+    out = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "n_lines", "n_dropped",
                       F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
@@ -37,17 +36,17 @@ WITH pages AS (
 ), totals AS (
   SELECT source, count(*) AS total FROM documents WHERE source IS NOT NULL GROUP BY source
 ), carried AS (
-  SELECT source, unnest(list_distinct(list_transform(list_filter(lines, lambda x: trim(x) <> ''), lambda x: trim(x)))) AS line FROM pages
+  SELECT source, unnest(list_distinct(list_transform(list_filter(lines, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> ''), lambda x: trim(x, ' ' || chr(9) || chr(13))))) AS line FROM pages
 ), boilerplate AS (
   SELECT c.source, list(c.line) AS gone
-  FROM (SELECT source, line, count(*) AS n FROM carried GROUP BY source, line HAVING count(*) >= 10) c
+  FROM (SELECT source, line, count(*) AS n FROM carried GROUP BY source, line HAVING count(*) >= 3) c
   JOIN totals t ON t.source = c.source WHERE CAST(c.n AS DOUBLE) / t.total > 0.1 GROUP BY c.source
 ), marked AS (
   SELECT doc_id, lines, coalesce(gone, []) AS gone FROM pages LEFT JOIN boilerplate b ON b.source = pages.source
 )
-SELECT doc_id, CAST(len(list_filter(lines, lambda x: trim(x) <> '')) AS BIGINT) AS n_lines,
-       CAST(len(list_filter(lines, lambda x: list_contains(gone, trim(x)))) AS BIGINT) AS n_dropped,
-       sha256(array_to_string(list_filter(lines, lambda x: NOT list_contains(gone, trim(x))), chr(10))) AS kept_sha256
+SELECT doc_id, CAST(len(list_filter(lines, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) AS BIGINT) AS n_lines,
+       CAST(len(list_filter(lines, lambda x: list_contains(gone, trim(x, ' ' || chr(9) || chr(13))))) AS BIGINT) AS n_dropped,
+       sha256(array_to_string(list_filter(lines, lambda x: NOT list_contains(gone, trim(x, ' ' || chr(9) || chr(13)))), chr(10))) AS kept_sha256
 FROM marked"""
 
 

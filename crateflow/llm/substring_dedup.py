@@ -18,8 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateflow.llm.common import (mix, shuffle_partitions, slices, utf8_buffers, window_hashes, word_hashes,
-                                  word_spans)
+from crateflow.llm.common import (mix, raw_texts, shuffle_partitions, slices, utf8_buffers, window_hashes,
+                                  word_hashes, word_spans)
 
 _SECOND = np.uint64(0xA0761D6478BD642F)
 _NULL = np.iinfo(np.int64).max  # a null id comes after all others
@@ -198,8 +198,9 @@ def _remover(length: int):
     def remove(batches):
         for part in slices(batches, "text", 8 << 20):
             rows = []
-            for text, starts, stops in zip(*(part.column(c).to_pylist() for c in ("text", "starts", "stops"))):
-                words = (text or "").encode().split()
+            bounds_of = (part.column(c).to_pylist() for c in ("starts", "stops"))
+            for raw, starts, stops in zip(raw_texts(part.column("text")), *bounds_of):
+                words = (raw or b"").split()
                 spans = []
                 if starts:
                     bounds = list(zip(*(np.frombuffer(x, dtype="<u4").tolist() for x in (starts, stops))))
@@ -230,7 +231,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Defined cases: a null text has no words; a null id comes after all other
     ids; rows that share an id are told apart by the CRC-32 of their texts
     (the smaller one counts as earlier), and equal rows are one document,
-    reported for each row; fewer than ``length`` words: nothing goes; other
+    reported for each row; fewer than ``length`` words: nothing goes; invalid UTF-8 is compared byte by byte and kept with replacement characters;
+    a very long text is one row of one slice and is hashed in blocks; other
     columns are ignored; an empty table gives no rows.
 
     Buckets: one for ``chars_per_bucket`` characters of input, and at least

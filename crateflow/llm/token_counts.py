@@ -65,6 +65,7 @@ class EditedDocument:
         self.text = text
         self.tree = SumTree(chars, tokens)
         self.dirty: set[int] = set()
+        self.split: dict[int, tuple[list[int], list[int]]] = {}  # changed leaf -> the leaves that replace it
 
     def edit(self, start: int, stop: int, insert: str) -> None:
         """Replace characters [start, stop) of the text as it is now; the range is clipped to it."""
@@ -107,16 +108,24 @@ class EditedDocument:
             node //= 2
         return before
 
-    def settle(self, counts: dict[int, int]) -> None:
-        for leaf, tokens in counts.items():
-            self.tree.put(leaf, self.tree.chars[leaf + self.tree.width], tokens)
+    def settle(self, counts: dict[int, tuple[list[int], list[int]]]) -> None:
+        """Take the leaves (characters, tokens) into which each changed leaf was cut."""
+        for leaf, (chars, tokens) in counts.items():
+            self.tree.put(leaf, self.tree.chars[leaf + self.tree.width], sum(tokens))
+            self.split[leaf] = (chars, tokens)
         self.dirty.clear()
 
     def state(self) -> tuple[list[int], list[int]]:
-        """Characters and tokens of the leaves that hold any."""
-        w = self.tree.width
-        both = [(c, t) for c, t in zip(self.tree.chars[w:], self.tree.tokens[w:]) if c]
-        return [c for c, _ in both], [t for _, t in both]
+        """Characters and tokens of the leaves that hold any; a changed leaf as the leaves it was cut into."""
+        w, chars, tokens = self.tree.width, [], []
+        for leaf, (c, t) in enumerate(zip(self.tree.chars[w:], self.tree.tokens[w:])):
+            if leaf in self.split:
+                chars += self.split[leaf][0]
+                tokens += self.split[leaf][1]
+            elif c:
+                chars.append(c)
+                tokens.append(t)
+        return chars, tokens
 
 
 def _leaves(bpe: ByteBpe, column: pa.Array, per_leaf: int):
@@ -210,11 +219,11 @@ def apply_edits(state: DataFrame, path: str, text_col: str = "text", edits_col:
                     regions.append(region)
                 docs.append(doc)
             n, chars, tokens = _leaves(bpe, pa.array(regions, pa.large_string()), per_leaf)
-            ends = np.cumsum(n)
-            total = np.concatenate([[0], np.cumsum(tokens)])
-            counts: dict[int, dict[int, int]] = {}
-            for (row, leaf), count in zip(where, (total[ends] - total[ends - n]).tolist()):
-                counts.setdefault(row, {})[leaf] = count
+            ends = np.cumsum(n).tolist()
+            chars, tokens = chars.tolist(), tokens.tolist()
+            counts: dict[int, dict[int, tuple[list[int], list[int]]]] = {}
+            for (row, leaf), a, b in zip(where, [0, *ends], ends):
+                counts.setdefault(row, {})[leaf] = (chars[a:b], tokens[a:b])
             again = np.zeros(len(docs), dtype=np.int64)
             for (row, _), region in zip(where, regions):
                 again[row] += len(region)

@@ -113,14 +113,24 @@ def parse(data: bytes):
 
 
 def unzipped(raw: bytes) -> bytes:
-    """The bytes of a plain or gzip archive, of one member or many."""
+    """The bytes of a plain or gzip archive, of one member or many; a damaged or cut-off member ends it.
+
+    Members are fed in pieces, so that what is left over at a member's end is
+    a piece at most: the time is linear, however many members there are.
+    """
     if raw[:2] != b"\x1f\x8b":
         return raw
-    out = []
-    while raw[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(raw))
-        raw = d.unused_data
+    out, at, view = [], 0, memoryview(raw)
+    while raw[at: at + 2] == b"\x1f\x8b":
+        member, size = zlib.decompressobj(31), 1024
+        while not member.eof and at < len(raw):
+            piece = view[at: at + size]
+            try:
+                out.append(member.decompress(piece))
+            except zlib.error:
+                return b"".join(out)
+            at += len(piece) - len(member.unused_data)
+            size = min(2 * size, 1 << 18)
     return b"".join(out)
 
 

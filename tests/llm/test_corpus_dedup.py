@@ -318,3 +318,27 @@ def test_embedding_recall_of_planted_pairs_with_default_parameters(spark, size):
     assert links.sum() >= 2 * n and all(got[i] <= links[i] for i in range(size))
     print("recall", size, sum(got.values()), int(links.sum()))
     assert sum(got.values()) >= 0.95 * links.sum()
+
+
+def test_substring_dedup_of_invalid_bytes(spark):
+    """A text that is no UTF-8 neither fails nor hides its repeats."""
+    words = "".join(f" w{i}" for i in range(30)).encode()
+    rows = [(i, (b"a\xff\xfe" + bytes([65 + i]) + words).hex()) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, h string").select("doc_id", F.expr("cast(unhex(h) as string)").alias("text"))
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs, length=20).collect()}
+    assert [got[i].n_removed for i in range(3)] == [0, 30, 30] and got[1].kept == "a\ufffd\ufffdB"
+
+
+def test_gzip_archives_of_many_members():
+    import gzip
+    import time
+
+    parts = [bytes([i % 251]) * (i % 3000) + str(i).encode() for i in range(4000)]
+    raw = b"".join(map(gzip.compress, parts))
+    began = time.process_time()
+    assert warc.unzipped(raw) == b"".join(parts)
+    assert time.process_time() - began < 5
+    big = gzip.compress(random.Random(1).randbytes(3 << 20))
+    assert len(warc.unzipped(big + raw)) == (3 << 20) + sum(map(len, parts))
+    assert warc.unzipped(raw[:-5])[: len(parts[0])] == parts[0] and warc.unzipped(b"plain") == b"plain"
+    assert warc.unzipped(gzip.compress(b"x") + b"\x1f\x8bnoise") == b"x"

@@ -224,3 +224,64 @@ def test_line_dedup_lets_the_ratio_decide_at_every_size_of_host(spark):
     docs = spark.createDataFrame(rows, "source string, text string")
     dropped = {r.source: r.n for r in line_dedup.drop_boilerplate(docs).groupBy("source").agg(F.sum("n_dropped").alias("n")).collect()}
     assert dropped == {"three": 3, "two": 0, "dozen": 9, "dozen-few": 0, "hundred": 8, "hundred-few": 0, "thousand": 101, "thousand-few": 0}
+
+
+def test_the_tree_keeps_its_leaves_after_a_large_edit(spark):
+    words = "some words of a long text, cut into leaves. "
+    docs = spark.createDataFrame([(1, "short", [(2, 3, words * 2000)])], f"doc_id int, text string, edits {token_counts.EDITS}")
+    once = token_counts.apply_edits(token_counts.index(docs, PATH), PATH)
+    again = once.drop("edits").withColumn("edits", F.expr("array(named_struct('start', 40000, 'stop', 40001, 'insert', 'X'))"))
+    got = token_counts.apply_edits(again, PATH).first()
+    assert got.reencoded_chars < 1000
+    whole = token_counts.index(spark.createDataFrame([(1, got.text)], "doc_id int, text string"), PATH).first()
+    assert got.n_tokens == whole.n_tokens and sum(got.leaf_chars) == len(got.text) and sum(got.leaf_tokens) == got.n_tokens
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    model = {"de": langid.fold(b"der die das und ist nicht ein " * 50), "en": langid.fold(b"the of and to in is that " * 50)}
+    rows = [(i, t) for i, t in enumerate(["\u00bd", "\u00b2", "\u2460", "\u2167", "12 3", "_", "", None, "x", "\u00e9", "\u65e5"])]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id int, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in got} == {i: i < 8 for i in range(len(rows))}
+
+
+def test_prediction_equals_a_plain_loop(spark):
+    """Every text compressed with every dictionary, block by block."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.learn(docs, where=~langid.held_out())
+    got = {r.doc_id: r for r in langid.identify(docs.select("doc_id", "text"), model).collect()}
+    names = sorted(model)
+    for d in docs.collect():
+        if not (d.text and any(c.isalpha() for c in d.text)):
+            continue
+        folded = "".join(c if not c.isascii() else c.lower() if c.isalpha() else " " for c in d.text)
+        raw = b" " + b" ".join(folded.encode().split()) + b" "
+        for level in (3, 12):
+            sizes = []
+            for n in names:
+                words = zstandard.ZstdCompressionDict(model[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                words.precompute_compress(level=level)
+                c = zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
+                sizes.append(sum(len(c.compress(raw[i:i + 2048])) for i in range(0, len(raw), 2048)))
+            first, second = sorted(sizes)[:2]
+            if 1 - first / second >= 0.09:
+                break
+        assert got[d.doc_id].lang_pred == names[sizes.index(first)] and got[d.doc_id].score == pytest.approx(1 - first / second)
+
+
+def test_line_ends_do_not_tell_lines_apart(spark):
+    rows = [(i, "h", f"own {i}\n" + end.join(["menu", ""])) for i, end in enumerate(["\n", "\r\n", "\t\r\n", " \n"])] + [(9, "h", None)]
+    out = {r.doc_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id int, source string, text string")).collect()}
+    assert [out[i].n_dropped for i in range(4)] == [1] * 4 and [out[i].n_lines for i in range(4)] == [2] * 4
+
+
+def test_the_query_equals_the_pipeline_stage(spark):
+    import corpus_pipeline
+    from crateflow.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stage = {r.doc_id: r.d for r in corpus_pipeline.drop_site_lines(spark, docs, sf).select(
+        "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("d")).collect()}
+    assert {r.doc_id: r.kept_sha256 for r in queries.op1_line_dedup(spark, sf).collect()} == stage
