@@ -160,26 +160,30 @@ _SLICES = ("slice bigint, doc_id array<bigint>, n_units array<int>, n_a array<bi
 
 def _sliced(model, slice_bytes: int):
     def run(batches):
-        pair_of, numbers = model(), slice_numbers()
+        pair, numbers = model(), slice_numbers()
         for part in slices(batches, "text", slice_bytes):
-            local = Numbers()
-            docs = [list(map(local.__getitem__, text_units(raw))) for raw in raw_texts(part.column("text"))]
-            found = pair_of.align(list(local))
-            streams = [np.array(d, dtype=np.int64) for d in docs]
-            streams = [d if found.spelled[d].all() else d[:0] for d in streams]  # one unit that is not spelled: no tokens at all
-            stream = np.concatenate([*streams, np.zeros(0, np.int64)])
-            times = np.bincount(stream, minlength=len(local))
-            pairs, links = np.unique(found.links, return_inverse=True)
-            counts = np.bincount(links, weights=np.repeat(times, found.n_links), minlength=len(pairs)).astype(np.int64)
-            yield pa.RecordBatch.from_pylist([{
-                "slice": next(numbers), "doc_id": part.column("doc_id"), "n_units": [len(d) for d in streams],
-                "n_a": [found.n_a[d].sum() for d in streams], "n_b": [found.n_b[d].sum() for d in streams], "stream": pack(stream),
-                "unit_groups": found.texts, "unit_links": found.n_links, "links": pack(links), "pair": pairs, "n": counts,
-            }], schema=_ARROW)
+            yield _slice(pair, next(numbers), part)  # nothing of a slice outlives it here
 
     return run
 
 
+def _slice(pair: TokenizerPair, number: int, part: pa.RecordBatch) -> pa.RecordBatch:
+    """One slice: its documents as streams of units, its units' groups and links, its id pairs and their numbers."""
+    local = Numbers()
+    streams = [np.array(list(map(local.__getitem__, text_units(raw))), dtype=np.int64) for raw in raw_texts(part.column("text"))]
+    found = pair.align(list(local))
+    streams = [d if found.spelled[d].all() else d[:0] for d in streams]  # one unit that is not spelled: no tokens at all
+    stream = np.concatenate([*streams, np.zeros(0, np.int64)])
+    times = np.bincount(stream, minlength=len(local))
+    pairs, links = np.unique(found.links, return_inverse=True)
+    counts = np.bincount(links, weights=np.repeat(times, found.n_links), minlength=len(pairs)).astype(np.int64)
+    return pa.RecordBatch.from_pylist([{
+        "slice": number, "doc_id": part.column("doc_id"), "n_units": [len(d) for d in streams],
+        "n_a": [found.n_a[d].sum() for d in streams], "n_b": [found.n_b[d].sum() for d in streams], "stream": pack(stream),
+        "unit_groups": found.texts, "unit_links": found.n_links, "links": pack(links), "pair": pairs, "n": counts,
+    }], schema=_ARROW)
+
+
 _ARROW = pa.schema([
     ("slice", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_units", pa.list_(pa.int32())), ("n_a", pa.list_(pa.int64())),
     ("n_b", pa.list_(pa.int64())), ("stream", pa.binary()), ("unit_groups", pa.list_(pa.string())),
@@ -214,7 +218,7 @@ def _documents(batches):
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text",
-          slice_bytes: int = 6 << 20) -> DataFrame:
+          slice_bytes: int = 3 << 20) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) for every row of ``docs``.
 
     A encodes space + text, B the text (it adds the space); special tokens'
