@@ -109,6 +109,7 @@ class Aligned:
         # tokens are never empty, so at a common end one of each ends: they are linked
         self.links = a[last_a] << _B_BITS | b[last_b]
         self.n_links = np.diff(np.searchsorted(np.array(common, dtype=np.int64), np.concatenate([[0], np.cumsum(sizes)]), side="right"))
+        del index_a, index_b, common
         self.texts = self._texts(pair, a, b, last_a, last_b)
 
     def _texts(self, pair: TokenizerPair, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
@@ -218,7 +219,7 @@ def _documents(batches):
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text",
-          slice_bytes: int = 3 << 20) -> DataFrame:
+          slice_bytes: int = 3 << 19) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) for every row of ``docs``.
 
     A encodes space + text, B the text (it adds the space); special tokens'
