@@ -69,3 +69,17 @@ def test_documents_of_different_ids_are_loaded_without_a_shuffle_of_their_text(s
     assert _shuffles(FL.ENTITIES["release"].one_each(FL.ENTITIES["release"].parsed(raw))) == 0
     twice = raw.unionByName(raw.where("id = 4").withColumn("raw", F.lit('{"id": 4, "title": "m"}'))).unionByName(raw.where("id = 4"))
     assert sorted(r.id_release for r in L.incremental_load(twice, loaded)["release"].collect()) == [0, 1, 3, 4, 5]
+
+
+def test_a_step_looks_into_the_target_once(spark, tmp_path, monkeypatch):
+    looks, read = [], L.read_loaded
+    monkeypatch.setattr(L, "read_loaded", lambda s, d, t: looks.append(t) or read(s, d, t))
+    raw = spark.range(6).select("id", F.to_json(F.struct("id", F.array(F.lit("rock")).alias("genres"))).alias("raw"))
+    L.load_batch(raw.where("id < 3"), str(tmp_path))
+    L.load_batch(raw, str(tmp_path))
+    L.load_batch(raw, str(tmp_path))
+    assert looks == ["release"] * 2
+    for table in ("release", "release_genres"):
+        assert sorted(r.id_release for r in read(spark, str(tmp_path), table).collect()) == [0, 1, 2, 3, 4, 5]
+    loaded = spark.read.parquet(f"{tmp_path}/release").where("id_release >= 0").groupBy("load").count().collect()
+    assert sorted(r["count"] for r in loaded) == [3, 3]
