@@ -12,7 +12,7 @@ less: a word seen only once stands for what was never seen.
 
 Learning is truncated backpropagation over windows whose state is carried on.
 A bounded sample starts the network; then every slice of the corpus goes on
-from there on a fixed share of its training tokens, and the parameters are
+from there on all of its training tokens, and the parameters are
 averaged by a tree of groups, weighted by tokens. Scoring runs documents side
 by side in lanes, window by window; a document's state is carried from its
 first word to its end, however long it is.
@@ -152,31 +152,33 @@ def log_likelihood(net: dict, states: np.ndarray, cls: np.ndarray, place: np.nda
     return out
 
 
-def train(net: dict, v: Vocabulary, stream: np.ndarray, steps: int, rate: float, lanes: int = 64, window: int = 32,
-          span: int | None = None) -> int:
+def train(net: dict, v: Vocabulary, stream: np.ndarray, steps: int | None, rate: float, lanes: int = 64, window: int = 32) -> int:
     """Adam on truncated backpropagation; returns the tokens used.
 
     ``stream``: output ids, documents one after another, each closed by the
-    end. It is cut into lanes; each lane runs over its first ``span`` tokens
-    (all, if None), again and again, and its state is carried from window to
-    window and cleared after an end.
+    end. It is cut into lanes; each lane runs over its tokens again and again
+    for ``steps`` windows (None: once over every token of the stream), and its
+    state is carried from window to window and cleared after an end.
     """
-    lanes = min(lanes, max(1, (len(stream) - 1) // window))
-    size = (len(stream) - 1) // lanes
-    if size < 1:
+    total, once = len(stream) - 1, steps is None
+    if total < 1:
         return 0
-    span = max(1, min(size, span or size))
+    lanes = min(lanes, max(1, total // window))
+    span = -(-total // lanes) if once else total // lanes
     window = min(window, span)
-    begin = np.arange(lanes) * size
+    steps = -(-span // window) if once else steps
+    # in one pass the last lane ends with the stream; lanes may share a token
+    begin = np.arange(lanes) * (total - span) // max(1, lanes - 1) if once else np.arange(lanes) * span
     moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in net.items()}
     h = np.zeros((lanes, net["rec"].shape[0]), np.float32)
     at = 0
     for step in range(1, steps + 1):
-        if at + window > span:
+        if at + window > span and not once:
             at = 0
             h[:] = 0
-        where = begin + at + np.arange(window)[:, None]
-        at += window
+        wide = min(window, span - at)
+        where = begin + at + np.arange(wide)[:, None]
+        at += wide
         grads, h = _gradients(net, v, stream[where], stream[where + 1], h)
         norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
         slow = min(1.0, 5.0 / (norm + 1e-9))
@@ -187,7 +189,7 @@ def train(net: dict, v: Vocabulary, stream: np.ndarray, steps: int, rate: float,
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             net[k] -= now / (1 - 0.9**step) * m / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    return steps * window * lanes
+    return total if once else steps * window * lanes
 
 
 def _gradients(net: dict, v: Vocabulary, seen: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -383,12 +385,12 @@ def _mean(df: DataFrame, fan_in: int = 32) -> bytes | None:
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = 32,
           class_words: int = 64, hidden: int = 24, embedding: int = 24, start_steps: int = 240, start_slices: int = 4,
-          share: int = 16, rate: float = 0.015, slice_bytes: int = 8 << 20) -> DataFrame:
+          rate: float = 0.015, slice_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Learned from the rows for which ``held_out`` is false: counts from all of
     them; the network from ``start_steps`` windows of 64 x 32 tokens of
-    ``start_slices`` slices, then from one token in ``share`` of every slice.
+    ``start_slices`` slices, then from every training token of every slice.
     Tokens are words (runs without ASCII white space, A-Z lower-cased) and one
     end. ``n_known`` counts tokens with a training count, ``train_tokens`` is
     their number N in the corpus; ``base_score`` sums log10((c + 1) / (N + V + 1)),
@@ -444,9 +446,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     def learn(batches):
         for row, s in _each_slice(batches, ends):
             net, ids = from_bytes(sent.value, first), s.training_ids(v)
-            lanes, window = 64, 32
-            span = max(window, len(ids) // lanes // share)
-            used = train(net, v, ids, max(1, span // window), rate / 5, lanes, window, span)
+            used = train(net, v, ids, None, rate / 5)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["slice"].as_py()], pa.int64()), pa.array([float(used)], pa.float64()),
                  pa.array([to_bytes(net)], pa.binary())], names=["number", "weight", "net"])

@@ -103,6 +103,20 @@ def test_lanes_and_windows_do_not_matter():
     assert len(M.score_documents(net, v, ids[:0], ends[:0])) == 0
 
 
+def test_one_pass_learns_every_token(monkeypatch):
+    v = M.Vocabulary([50, *range(40, 9, -1)], {3: 9}, {2: 9}, 8)
+    rng = np.random.default_rng(5)
+    for n in (2, 31, 64, 999, 5000):
+        stream, seen = rng.integers(0, 30, n), []
+        gradients = M._gradients
+        with monkeypatch.context() as m:
+            marks = np.arange(n)
+            m.setattr(M, "_gradients", lambda net, v, a, b, h: seen.append(b) or ({k: np.zeros_like(x) for k, x in net.items()}, h))
+            assert M.train(M.new_network(v, 4, 4), v, marks, None, 0.01) == n - 1
+        assert set(np.concatenate([x.ravel() for x in seen]).tolist()) == set(range(1, n))
+        assert M._gradients is gradients and M.train(M.new_network(v, 4, 4), v, stream, None, 0.01) == n - 1
+
+
 def test_mean_over_groups(spark):
     rows = [(i, float(1 + i % 4), np.full(3, i, "<f4").tobytes()) for i in range(70)] + [(99, 0.0, np.zeros(3, "<f4").tobytes())]
     got = np.frombuffer(M._mean(spark.createDataFrame(rows, "number bigint, weight double, net binary"), fan_in=4), "<f4")
