@@ -78,8 +78,13 @@ class TokenizerPair:
             out[i] = flat[a:b]
         return [self.a.encode_ordinary(u) if o is None else o for u, o in zip(spaced, out)]
 
-    def align(self, units: list[str]) -> "Aligned":
-        """All units (without their leading spaces) encoded, and those that both tokenizers spell aligned."""
+    def align(self, units: list[str], block: int = 1 << 16) -> "Aligned":
+        """All units (without their leading spaces) encoded, and those that both tokenizers spell aligned; about ``block`` characters at a time."""
+        cuts = np.flatnonzero(np.diff(np.cumsum([len(u) + 1 for u in units]) // block)) + 1
+        cuts = [0, *cuts.tolist(), len(units)]
+        return Aligned.joined([self._align(units[i:j]) for i, j in zip(cuts, cuts[1:])])
+
+    def _align(self, units: list[str]) -> "Aligned":
         spaced = [" " + u for u in units]
         raw = [u.encode() for u in spaced]
         ids_a, ids_b = self._encode_a(spaced, raw), self.b.encode(units, num_threads=1) if units else []
@@ -112,6 +117,15 @@ class Aligned:
         del index_a, index_b, common
         self.texts = self._texts(pair, a, b, last_a, last_b)
 
+    @classmethod
+    def joined(cls, parts: list["Aligned"]) -> "Aligned":
+        """Blocks of units one after another."""
+        out = cls.__new__(cls)
+        out.spelled, out.n_a, out.n_b, out.n_links, out.links = (
+            np.concatenate([getattr(p, c) for p in parts]) for c in ("spelled", "n_a", "n_b", "n_links", "links"))
+        out.texts = list(chain.from_iterable(p.texts for p in parts))
+        return out
+
     def _texts(self, pair: TokenizerPair, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
         """Both id lists sliced into groups and written out: a comma after an id, a bar after A's last, a semicolon after B's last."""
         per_a, per_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)

@@ -95,3 +95,15 @@ def test_ids_that_do_not_follow_the_merges_are_refused():
         pieces = f.read()
     with pytest.raises(ValueError):
         alignment.TokenizerPair(json.dumps(spec).encode(), pieces)
+
+
+def test_units_aligned_in_blocks_give_the_same():
+    with open(P.path("byte_bpe_50k.json"), "rb") as a, open(P.path("piece_bpe_32k.model"), "rb") as b:
+        pair = alignment.TokenizerPair(a.read(), b.read())
+    rnd = random.Random(7)
+    units = sorted({u for text in ODD for u in alignment.text_units(text.encode())} | {"".join(rnd.choices("abcdeé\U0001f600", k=rnd.randint(1, 9))) for _ in range(300)})
+    whole, parts = pair.align(units, block=1 << 30), pair.align(units, block=16)
+    for name in ("spelled", "n_a", "n_b", "n_links", "links"):
+        assert getattr(whole, name).tolist() == getattr(parts, name).tolist()
+    assert whole.texts == parts.texts and len(parts.texts) == len(units)
+    assert pair.align([]).texts == [] and len(pair.align([]).links) == 0
