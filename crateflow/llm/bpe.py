@@ -15,13 +15,14 @@ import heapq
 import itertools
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from crateflow.llm.common import extended, slices, utf8_buffers, with_text, word_hashes
+from crateflow.llm.common import extended, give_back, slices, utf8_buffers, with_text, word_hashes
 
 #: Fixed value: the published pre-token pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -99,6 +100,7 @@ class ByteBpe:
         made = np.array(list(self.merge.values()), dtype=np.int64)
         at = np.argsort(pairs)
         self.pairs, self.rank, self.result = pairs[at], made[at, 0], made[at, 1]
+        del spec, vocab, pairs, made  # a worker that loads the file stands next to the executor's heap
         self._index_prefixes()
         self.token_bytes = np.frombuffer(b"".join(self.token), dtype=np.uint8)
         self.token_size = np.fromiter(map(len, self.token), dtype=np.int64, count=size)
@@ -108,21 +110,26 @@ class ByteBpe:
                               if self.special else None)
         self.cache = self.older = _Cache()
         self.checked = self.merged_exactly = 0  # words speculated on, and those that failed the check
+        give_back()
 
     def _index_prefixes(self) -> None:
         """The tree of token prefixes as a sorted edge list (node, byte) -> node, and the token each node completes."""
-        nodes = {b"": 0}
-        edges = []
+        edges, children, completes = array("q"), array("q"), array("q", [-1])
+        last, path = b"", [0]  # the token before, and the nodes of its prefixes
         for t in sorted(self.ids):
-            for n in range(1, len(t) + 1):
-                if t[:n] not in nodes:
-                    nodes[t[:n]] = len(nodes)
-                    edges.append((nodes[t[:n - 1]] << 8 | t[n - 1], nodes[t[:n]]))
-        edges = np.array(sorted(edges), dtype=np.int64)
-        self.edge, self.child = edges[:, 0].copy(), edges[:, 1].copy()
-        self.completes = np.full(len(nodes), -1, dtype=np.int64)
-        for t, i in self.ids.items():
-            self.completes[nodes[t]] = i
+            # in this order a prefix that is known is one of the token before
+            n = next((i for i, (a, b) in enumerate(zip(t, last)) if a != b), min(len(t), len(last)))
+            del path[n + 1:]
+            for byte in t[n:]:
+                edges.append(path[-1] << 8 | byte)
+                path.append(len(completes))
+                children.append(path[-1])
+                completes.append(-1)
+            completes[path[-1]] = self.ids[t]
+            last = t
+        edges, children = np.array(edges, dtype=np.int64), np.array(children, dtype=np.int64)
+        order = np.argsort(edges)
+        self.edge, self.child, self.completes = edges[order], children[order], np.array(completes, dtype=np.int64)
 
     # -- words ------------------------------------------------------------------
 

@@ -285,3 +285,21 @@ def test_the_query_equals_the_pipeline_stage(spark):
     stage = {r.doc_id: r.d for r in corpus_pipeline.drop_site_lines(spark, docs, sf).select(
         "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("d")).collect()}
     assert {r.doc_id: r.kept_sha256 for r in queries.op1_line_dedup(spark, sf).collect()} == stage
+
+
+def test_the_prefix_tree_is_that_of_all_prefixes_and_takes_little_to_build(model):
+    import tracemalloc
+
+    nodes, edges = {b"": 0}, {}
+    for t in sorted(model.ids):
+        for n in range(1, len(t) + 1):
+            if t[:n] not in nodes:
+                nodes[t[:n]] = len(nodes)
+                edges[nodes[t[:n - 1]] << 8 | t[n - 1]] = nodes[t[:n]]
+    assert dict(zip(model.edge.tolist(), model.child.tolist())) == edges and model.edge.tolist() == sorted(edges)
+    assert {n: model.completes[i] for n, i in nodes.items() if model.completes[i] >= 0} == model.ids
+    tracemalloc.start()
+    model._index_prefixes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * 8 * len(nodes)  # a few arrays of numbers
