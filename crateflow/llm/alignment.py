@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from crateflow.llm.bpe import PATTERN, _byte_of_char
 from crateflow.llm.common import raw_texts, slices, written
-from crateflow.llm.slice_table import Numbers, figures_back, keys_of_slices, pack, slice_numbers, unpack
+from crateflow.llm.slice_table import Numbers, figures_back, keys_of_slices, pack, pack_lines, slice_numbers, unpack, unpack_lines
 
 SPACE = "▁"
 _CUT = re.compile(r"(?<=\S) (?=[\s\S])")  # B encodes nothing as nothing, so a last space stays; \S of Python: no white space of either tokenizer matches it
@@ -170,7 +170,7 @@ def text_units(raw: bytes | None) -> list[str]:
 
 
 _SLICES = ("slice bigint, doc_id array<bigint>, n_units array<int>, n_a array<bigint>, n_b array<bigint>, "
-           "stream binary, unit_groups array<string>, unit_links array<int>, links binary, pair array<bigint>, n array<bigint>")
+           "stream binary, unit_groups binary, unit_links binary, links binary, pair array<bigint>, n array<bigint>")
 
 
 def _sliced(model, slice_bytes: int):
@@ -195,14 +195,14 @@ def _slice(pair: TokenizerPair, number: int, part: pa.RecordBatch) -> pa.RecordB
     return pa.RecordBatch.from_pylist([{
         "slice": number, "doc_id": part.column("doc_id"), "n_units": [len(d) for d in streams],
         "n_a": [found.n_a[d].sum() for d in streams], "n_b": [found.n_b[d].sum() for d in streams], "stream": pack(stream),
-        "unit_groups": found.texts, "unit_links": found.n_links, "links": pack(links), "pair": pairs, "n": counts,
+        "unit_groups": pack_lines(found.texts), "unit_links": pack(found.n_links), "links": pack(links), "pair": pairs, "n": counts,
     }], schema=_ARROW)
 
 
 _ARROW = pa.schema([
     ("slice", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_units", pa.list_(pa.int32())), ("n_a", pa.list_(pa.int64())),
-    ("n_b", pa.list_(pa.int64())), ("stream", pa.binary()), ("unit_groups", pa.list_(pa.string())),
-    ("unit_links", pa.list_(pa.int32())), ("links", pa.binary()), ("pair", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+    ("n_b", pa.list_(pa.int64())), ("stream", pa.binary()), ("unit_groups", pa.binary()),
+    ("unit_links", pa.binary()), ("links", pa.binary()), ("pair", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 
 _RESULT = ("doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, "
            "groups string")
@@ -214,11 +214,11 @@ def _documents(batches):
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in batch.schema.names}
             flat = lambda c: row[c].values.to_numpy() if row[c].is_valid else np.zeros(0, np.int64)
-            links, per_unit = unpack(row["links"].as_py()), flat("unit_links").astype(np.int64)
+            links, per_unit = unpack(row["links"].as_py()), unpack(row["unit_links"].as_py())
             offsets = np.concatenate([[0], np.cumsum(per_unit)])
             per_link = [flat("total"), flat("best").astype(np.int64)]
             sums = [np.diff(np.concatenate([[0], np.cumsum(x[links] if len(links) else links)])[offsets]) for x in per_link]
-            stream, texts = unpack(row["stream"].as_py()), row["unit_groups"].as_py()
+            stream, texts = unpack(row["stream"].as_py()), unpack_lines(row["unit_groups"].as_py())
             ends = np.concatenate([[0], np.cumsum(flat("n_units").astype(np.int64))])
             docs = len(ends) - 1
             total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[stream])])[ends]) if docs else np.zeros(0, np.int64)

@@ -44,6 +44,15 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int64)
 
 
+def pack_lines(lines: list[str]) -> bytes:
+    """Texts without a line end, compressed together."""
+    return zstandard.ZstdCompressor(level=3).compress("\n".join(lines).encode())
+
+
+def unpack_lines(blob: bytes) -> list[str]:
+    return zstandard.ZstdDecompressor().decompress(blob).decode().split("\n")
+
+
 def keys_of_slices(table: DataFrame, key: str, weight: str) -> DataFrame:
     """(slice, at, key, n): one row for each distinct key of each slice; ``at`` is its place in the slice's list."""
     zipped = F.arrays_zip(F.col(key).alias("k"), F.col(weight).alias("n"))

@@ -107,3 +107,18 @@ def test_units_aligned_in_blocks_give_the_same():
         assert getattr(whole, name).tolist() == getattr(parts, name).tolist()
     assert whole.texts == parts.texts and len(parts.texts) == len(units)
     assert pair.align([]).texts == [] and len(pair.align([]).links) == 0
+
+
+def test_what_a_slice_sends_is_packed():
+    import numpy as np
+    import pyarrow as pa
+
+    with open(P.path("byte_bpe_50k.json"), "rb") as a, open(P.path("piece_bpe_32k.model"), "rb") as b:
+        pair = alignment.TokenizerPair(a.read(), b.read())
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(2000)) for _ in range(5)]
+    row = alignment._slice(pair, 0, pa.RecordBatch.from_pydict({"doc_id": [*range(5)], "text": texts})).to_pylist()[0]
+    found = pair.align(list(dict.fromkeys(u for t in texts for u in alignment.text_units(t.encode()))))
+    assert alignment.unpack_lines(row["unit_groups"]) == found.texts and alignment.unpack(row["unit_links"]).tolist() == found.n_links.tolist()
+    assert len(row["unit_groups"]) < sum(map(len, found.texts)) / 2 and len(row["unit_links"]) < len(found.n_links)
+    assert alignment.unpack_lines(alignment.pack_lines([])) == [""] and not len(alignment.unpack(alignment.pack(np.zeros(0, np.int64))))
