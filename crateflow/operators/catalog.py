@@ -326,25 +326,33 @@ def genre_style_matrix(m) -> DataFrame:
     """Q26: per (genre, style) — NULL kept as a group — distinct collected
     releases and distinct collected artists.
 
-    Genre x style combinations are formed per release (bounded by the
-    per-release vocabulary) before artists are attached, and artists are
-    de-duplicated per combination before counting.
+    Each collected release becomes one row with its sets of genres, styles and
+    artists (bounded by the release). A row per release and artist, with the
+    two sets, goes to the artist; the combinations are formed there, so only
+    the per-combination sums of a task are shuffled again. A release
+    is counted with the first of its artists.
     """
     rel = collected_releases(m)
-    g = m.t("release_genres").select("id_release", "name_genre")
-    s = m.t("release_styles").select("id_release", "name_style")
-    combos = rel.join(g, "id_release", "left").join(s, "id_release", "left")
+
+    def sets(table: str, column: str, name: str) -> DataFrame:
+        own = m.t(table).select("id_release", column).join(rel, "id_release", "left_semi")
+        return own.groupBy("id_release").agg(F.collect_set(F.struct(column)).alias(name))
+
     # inner join with the artists: a release without artists drops out
-    has_artist = m.t("release_artists").select("id_release").distinct()
-    combos = combos.join(has_artist, "id_release", "left_semi")
-    # releases and artists of a combination counted in one aggregation
-    artists = combos.join(m.t("release_artists").select("id_release", "id_artist"), "id_release")
-    members = (combos.select("name_genre", "name_style", F.lit(0).alias("kind"), F.col("id_release").alias("id"))
-               .unionByName(artists.select("name_genre", "name_style", F.lit(1).alias("kind"), F.col("id_artist").alias("id")))
-               .distinct())
-    return members.groupBy("name_genre", "name_style").agg(
-        F.count(F.when(F.col("kind") == 0, 1)).alias("qty_collection_items"),
-        F.count(F.when(F.col("kind") == 1, 1)).alias("qty_collected_artists"))
+    rows = (rel.join(sets("release_artists", "id_artist", "artists"), "id_release")
+            .join(sets("release_genres", "name_genre", "genres"), "id_release", "left")
+            .join(sets("release_styles", "name_style", "styles"), "id_release", "left"))
+    rows = rows.select(F.posexplode("artists").alias("nth", "a"), "genres", "styles")
+    # as many tasks as the session has for a shuffle: the combinations are many times what is sent
+    parts = int(rel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("a.id_artist", (F.col("nth") == 0).cast("bigint").alias("n"), "genres", "styles").repartition(
+        parts, "id_artist")
+    rows = rows.select("id_artist", "n", F.explode_outer("genres").alias("g"), "styles")
+    rows = rows.select("id_artist", "n", F.col("g.name_genre"), F.explode_outer("styles").alias("s"))
+    per_artist = rows.groupBy("id_artist", "name_genre", F.col("s.name_style").alias("name_style")).agg(F.sum("n").alias("n"))
+    return per_artist.groupBy("name_genre", "name_style").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("qty_collection_items"),
+        F.count(F.lit(1)).alias("qty_collected_artists"))
 
 
 def nested_to_text(df: DataFrame, col: str, fields: list[str]) -> DataFrame:
