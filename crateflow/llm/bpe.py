@@ -10,7 +10,6 @@ words with an incompatible pair run the exact merge loop.
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import itertools
 import json
@@ -90,17 +89,17 @@ class ByteBpe:
         self.order = np.zeros(size, dtype=np.int64)
         self.order[self.byte_id] = np.arange(256)
         self.left, self.right = np.arange(size), np.arange(size)
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        merge: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"], 256):
             a, b = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
             a, b, c = self.ids[a], self.ids[b], self.ids[a + b]
-            if self.merge.setdefault((a, b), (rank, c))[0] == rank and self.left[c] == c:
+            if merge.setdefault((a, b), (rank, c))[0] == rank and self.left[c] == c:
                 self.left[c], self.right[c], self.order[c] = a, b, rank
-        pairs = np.array([a << 32 | b for a, b in self.merge], dtype=np.int64)
-        made = np.array(list(self.merge.values()), dtype=np.int64)
+        pairs = np.array([a << 32 | b for a, b in merge], dtype=np.int64)
+        made = np.array(list(merge.values()), dtype=np.int64)
         at = np.argsort(pairs)
         self.pairs, self.rank, self.result = pairs[at], made[at, 0], made[at, 1]
-        del spec, vocab, pairs, made  # a worker that loads the file stands next to the executor's heap
+        del spec, vocab, merge, pairs, made  # a worker that loads the file stands next to the executor's heap
         self._index_prefixes()
         self.token_bytes = np.frombuffer(b"".join(self.token), dtype=np.uint8)
         self.token_size = np.fromiter(map(len, self.token), dtype=np.int64, count=size)
@@ -112,6 +111,21 @@ class ByteBpe:
         self.checked = self.merged_exactly = 0  # words speculated on, and those that failed the check
         give_back()
 
+    def __getstate__(self) -> dict:
+        """What encoding and decoding read, a few MB of arrays: no dictionary or list of tokens, no cached units."""
+        left_out = ("token", "ids", "merge", "cache", "older")
+        return {k: v for k, v in self.__dict__.items() if k not in left_out}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.cache = self.older = _Cache()
+
+    @functools.cached_property
+    def merge(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, result) of each pair of ids that merges: for long words, made when the first one comes."""
+        pairs = zip((self.pairs >> 32).tolist(), (self.pairs & 0xFFFFFFFF).tolist())
+        return dict(zip(pairs, zip(self.rank.tolist(), self.result.tolist())))
+
     def _index_prefixes(self) -> None:
         """The tree of token prefixes as a sorted edge list (node, byte) -> node, and the token each node completes."""
         edges, children, completes = array("q"), array("q"), array("q", [-1])
@@ -399,19 +413,14 @@ class ByteBpe:
         return self.token_bytes[ragged(self.token_start[ids], self.token_size[ids])].tobytes().decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
-def _load(digest: str, source: bytes) -> ByteBpe:
-    return ByteBpe(source)
-
-
 def shared_model(spark, path: str, most: int = 64 << 20):
-    """A function that gives the encoder inside a task; the vocabulary file is read on the driver and broadcast."""
+    """A function that gives the encoder inside a task: it is built once on the driver and its arrays are broadcast."""
     with open(path, "rb") as f:
         source = f.read()
     if len(source) > most:
         raise ValueError(f"{path} is larger than {most} bytes")
-    sent, digest = spark.sparkContext.broadcast(source), hashlib.sha1(source).hexdigest()
-    return lambda: _load(digest, sent.value)
+    sent = spark.sparkContext.broadcast(ByteBpe(source))
+    return lambda: sent.value
 
 
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text", special: bool = True,

@@ -303,3 +303,19 @@ def test_the_prefix_tree_is_that_of_all_prefixes_and_takes_little_to_build(model
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 16 * 8 * len(nodes)  # a few arrays of numbers
+
+
+def test_tasks_get_the_arrays_of_the_encoder_and_not_its_dictionaries(spark, model, library):
+    import pickle
+
+    model.encode(ODD[7])  # a long word: its merges are looked up in a dictionary
+    sent = pickle.loads(pickle.dumps(model))
+    assert not {"token", "ids", "merge"} & set(vars(sent)) and not len(sent.cache.h)
+    made = [v for v in vars(sent).values() if isinstance(v, (dict, list))]
+    assert sum(map(len, made)) < 100  # the special tokens
+    for text in ODD:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert sent.encode(text).tolist() == want
+        assert sent.decode(want) == library.decode(want, skip_special_tokens=False)
+    assert isinstance(bpe.shared_model(spark, PATH)(), bpe.ByteBpe)  # built on the driver, not from the file in a task
+    assert not hasattr(bpe, "_load")
