@@ -106,27 +106,29 @@ def from_bytes(blob: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    with np.errstate(over="ignore"):  # beyond the range of exp the result is 0
+def _exp_sums(x: np.ndarray) -> np.ndarray | None:
+    """Turns ``x`` into its exponentials and gives each row's sum; None where a sum has no finite log."""
+    with np.errstate(over="ignore"):
         np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+        total = x @ np.ones(x.shape[1], x.dtype)
+    return total if np.isfinite(total).all() and total.all() else None
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    before = x.copy()
+    total = _exp_sums(x)
+    if total is None:  # rare: take the largest out first
+        np.exp(before - before.max(axis=1, keepdims=True), out=x)
+        total = x.sum(axis=1)
+    x *= np.reciprocal(total)[:, None]
     return x
 
 
 def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log softmax of each row's entry ``at``."""
     own = x[np.arange(len(x)), at]
-    with np.errstate(over="ignore"):
-        total = np.exp(x).sum(axis=1)
-    if not np.isfinite(total).all() or not total.all():  # rare: take the largest out first
+    total = _exp_sums(x.copy())
+    if total is None:
         top = x.max(axis=1)
         return own - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
     return own - np.log(total)
@@ -169,7 +171,11 @@ def train(net: dict, v: Vocabulary, stream: np.ndarray, steps: int | None, rate:
     steps = -(-span // window) if once else steps
     # in one pass the last lane ends with the stream; lanes may share a token
     begin = np.arange(lanes) * (total - span) // max(1, lanes - 1) if once else np.arange(lanes) * span
-    moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in net.items()}
+    # all parameters lie in one vector, so that Adam is a dozen passes over it
+    flat = np.concatenate([x.ravel() for x in net.values()])
+    places = np.cumsum([0, *(x.size for x in net.values())]).tolist()
+    own = {k: flat[i:j].reshape(x.shape) for (k, x), i, j in zip(net.items(), places, places[1:])}
+    grad, mean, square, work = (np.zeros_like(flat) for _ in range(4))
     h = np.zeros((lanes, net["rec"].shape[0]), np.float32)
     at = 0
     for step in range(1, steps + 1):
@@ -179,72 +185,139 @@ def train(net: dict, v: Vocabulary, stream: np.ndarray, steps: int | None, rate:
         wide = min(window, span - at)
         where = begin + at + np.arange(wide)[:, None]
         at += wide
-        grads, h = _gradients(net, v, stream[where], stream[where + 1], h)
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
-        slow = min(1.0, 5.0 / (norm + 1e-9))
+        grads, h = _gradients(own, v, stream[where], stream[where + 1], h)
+        np.concatenate([grads[k].ravel() for k in own], out=grad)
+        grad *= min(1.0, 5.0 / (float(np.sqrt(grad @ grad)) + 1e-9))
         now = rate * min(1.0, 2 * (1 - (step - 1) / steps))
-        for k, g in grads.items():
-            g *= slow
-            m, s = moment[k]
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            net[k] -= now / (1 - 0.9**step) * m / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        np.subtract(grad, mean, out=work)
+        work *= 0.1
+        mean += work
+        grad *= grad
+        grad -= square
+        grad *= 0.01
+        square += grad
+        np.divide(square, 1 - 0.99**step, out=work)
+        np.sqrt(work, out=work)
+        work += 1e-8
+        np.divide(mean, work, out=work)
+        work *= now / (1 - 0.9**step)
+        flat -= work
+    for k, x in own.items():
+        net[k][...] = x
     return total if once else steps * window * lanes
 
 
+def _inputs(net: dict, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(embeddings, what they give to gates and candidate) of tokens time x lanes, as time x feature x lanes.
+
+    With lanes last a gate of one step is one block of memory.
+    """
+    emb = np.ascontiguousarray(net["emb"][seen].transpose(0, 2, 1))
+    x = np.matmul(net["win"].T, emb)
+    x += net["bias"][:, None]
+    return emb, x
+
+
+def _steps(net: dict, x: np.ndarray, keep: np.ndarray, h: np.ndarray):
+    """The unit's run over a window from state ``h`` (feature x lanes): what it saw and gave at each time.
+
+    ``x`` as ``_inputs`` gives it; ``keep`` (time x lanes) is 0 where a state is cleared first.
+    """
+    size = h.shape[0]
+    rec = np.ascontiguousarray(net["rec"].T)
+    rec[: 2 * size] *= -1  # a gate is 1 / (1 + exp(-x))
+    minus = -x[:, : 2 * size]
+    g = np.empty_like(x)
+    gates = np.empty((len(x), 2 * size, x.shape[2]), np.float32)
+    before, cand, states = (np.empty((len(x), size, x.shape[2]), np.float32) for _ in range(3))
+    with np.errstate(over="ignore"):  # beyond the range of exp a gate is 0
+        for t in range(len(x)):
+            b, a, c, s, own = before[t], gates[t], cand[t], states[t], g[t]
+            np.multiply(h, keep[t], out=b)
+            np.matmul(rec, b, out=own)
+            np.add(minus[t], own[: 2 * size], out=a)
+            np.exp(a, out=a)
+            a += 1
+            np.reciprocal(a, out=a)
+            np.multiply(a[:size], own[2 * size:], out=c)
+            c += x[t, 2 * size:]
+            np.tanh(c, out=c)
+            np.subtract(b, c, out=s)
+            s *= a[size:]
+            s += c
+            h = s
+    return before, gates, g[:, 2 * size:], cand, states
+
+
 def _gradients(net: dict, v: Vocabulary, seen: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the mean loss of one window (time x lanes), and the state after it."""
     n_steps, lanes = seen.shape
     size = h.shape[1]
-    flat = seen.ravel()
-    emb = net["emb"][flat]
-    x = (emb @ net["win"] + net["bias"]).reshape(n_steps, lanes, -1)
-    keep = (seen != 0).astype(np.float32)[:, :, None]  # after an end a new document begins
-    before, gates, inner, cand = (np.empty((n_steps, lanes, w), np.float32) for w in (size, 2 * size, size, size))
-    states = np.empty((n_steps, lanes, size), np.float32)
-    for t in range(n_steps):
-        h = h * keep[t]
-        g = h @ net["rec"]
-        before[t], inner[t] = h, g[:, 2 * size:]
-        gates[t] = _sigmoid(x[t, :, : 2 * size] + g[:, : 2 * size])
-        r, z = gates[t, :, :size], gates[t, :, size:]
-        cand[t] = np.tanh(x[t, :, 2 * size:] + r * inner[t])
-        h = cand[t] + z * (h - cand[t])
-        states[t] = h
+    keep = (seen != 0).astype(np.float32)  # after an end a new document begins
+    emb, x = _inputs(net, seen)
+    before, gates, inner, cand, states = _steps(net, x, keep, h.T)
     cls, place = v.split(target.ravel())
-    s = states.reshape(-1, size)
+    s = states.transpose(0, 2, 1).reshape(-1, size)
     scale = np.float32(1 / len(s))
-    grads = {k: np.zeros_like(a) for k, a in net.items()}
+    grads = {k: np.zeros_like(net[k]) for k in ("word", "word_bias")}
     d = _softmax(s @ net["cls"] + net["cls_bias"])
     d[np.arange(len(s)), cls] -= 1
     d *= scale
     grads["cls"], grads["cls_bias"] = s.T @ d, d.sum(axis=0)
     ds = d @ net["cls"].T
-    for c, rows in _by_class(cls, place):
-        own = s[rows]
-        d = _softmax(own @ net["word"][c] + net["word_bias"][c])
-        d[np.arange(len(rows)), place[rows]] -= 1
-        d *= scale
-        grads["word"][c], grads["word_bias"][c] = own.T @ d, d.sum(axis=0)
-        ds[rows] += d @ net["word"][c].T
-    ds = ds.reshape(n_steps, lanes, size)
-    dx, dg = np.empty_like(x), np.empty_like(x)
-    dh = np.zeros((lanes, size), np.float32)
+    for c, rows, used in _padded(cls, place):
+        own = s[rows]  # class x row x feature
+        d = np.matmul(own, net["word"][c])
+        d += net["word_bias"][c][:, None]
+        d = d.reshape(-1, d.shape[-1])
+        _softmax(d)
+        d[np.arange(len(d)), place[rows].ravel()] -= 1
+        d *= (scale * used).reshape(-1, 1)
+        d = d.reshape(*rows.shape, -1)
+        grads["word"][c], grads["word_bias"][c] = np.matmul(own.transpose(0, 2, 1), d), d.sum(axis=1)
+        ds[rows[used]] += np.matmul(d, net["word"][c].transpose(0, 2, 1))[used]
+    ds = np.ascontiguousarray(ds.reshape(n_steps, lanes, size).transpose(0, 2, 1))
+    r, z = gates[:, :size], gates[:, size:]
+    # what a state's gradient is multiplied by, for all times at once
+    to_cand = (1 - z) * (1 - cand * cand)
+    to_reset, to_update = inner * r * (1 - r), (before - cand) * z * (1 - z)
+    dg, dn = np.empty_like(x), np.empty_like(cand)
+    dh = np.zeros((size, lanes), np.float32)
     for t in range(n_steps - 1, -1, -1):
         dh += ds[t]
-        r, z, n = gates[t, :, :size], gates[t, :, size:], cand[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dx[t, :, :size] = dn * inner[t] * r * (1 - r)
-        dx[t, :, size: 2 * size] = dh * (before[t] - n) * z * (1 - z)
-        dx[t, :, 2 * size:] = dn
-        dg[t, :, : 2 * size] = dx[t, :, : 2 * size]
-        dg[t, :, 2 * size:] = dn * r
-        dh = (dh * z + dg[t] @ net["rec"].T) * keep[t]
-    dx, dg = dx.reshape(len(s), -1), dg.reshape(len(s), -1)
-    grads["rec"] = before.reshape(-1, size).T @ dg
-    grads["win"], grads["bias"] = emb.T @ dx, dx.sum(axis=0)
-    np.add.at(grads["emb"], flat, dx @ net["win"].T)
-    return grads, h
+        out, own = dg[t], dn[t]
+        np.multiply(dh, to_cand[t], out=own)
+        np.multiply(own, to_reset[t], out=out[:size])
+        np.multiply(dh, to_update[t], out=out[size: 2 * size])
+        np.multiply(own, r[t], out=out[2 * size:])
+        dh *= z[t]
+        dh += net["rec"] @ out
+        dh *= keep[t]
+    rows = lambda a: a.transpose(1, 0, 2).reshape(a.shape[1], -1)  # noqa: E731  feature x token
+    dx = rows(dg)
+    grads["rec"] = rows(before) @ dx.T
+    dx[2 * size:] = rows(dn)
+    grads["win"], grads["bias"] = rows(emb) @ dx.T, dx.sum(axis=1)
+    flat = seen.ravel()
+    order = np.argsort(flat.astype(np.min_scalar_type(len(net["emb"]))), kind="stable")
+    flat = flat[order]
+    begin = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    grads["emb"] = np.zeros_like(net["emb"])
+    grads["emb"][flat[begin]] = np.add.reduceat((dx.T @ net["win"].T)[order], begin, axis=0)
+    return grads, np.ascontiguousarray(states[-1].T)
+
+
+def _padded(cls: np.ndarray, place: np.ndarray):
+    """(classes, rows as class x row, which of them are not padding): as ``_by_class``, classes of about as many rows together."""
+    rows = np.flatnonzero(place >= 0)
+    rows = rows[np.argsort(cls[rows], kind="stable")]
+    found, begin, n = np.unique(cls[rows], return_index=True, return_counts=True)
+    size = bucket(n - 1)
+    for b in np.unique(size).tolist():
+        mine = np.flatnonzero(size == b)
+        at = np.arange(int(n[mine].max()))
+        used = at < n[mine][:, None]
+        yield found[mine], rows[np.where(used, begin[mine][:, None] + at, begin[mine][:, None])], used
 
 
 def score_documents(net: dict, v: Vocabulary, ids: np.ndarray, ends: np.ndarray, lanes: int = 256, window: int = 32) -> np.ndarray:
@@ -273,34 +346,17 @@ def score_documents(net: dict, v: Vocabulary, ids: np.ndarray, ends: np.ndarray,
     first[begins] = True
     seen[first] = 0  # a document begins as after an end
     cls, place = v.split(ids)
-    table = net["emb"] @ net["win"] + net["bias"]
-    size = net["rec"].shape[0]
-    h = np.zeros((lanes, size), np.float32)
+    h = np.zeros((net["rec"].shape[0], lanes), np.float32)
     for t0 in range(0, int(length[0]), window):
-        active = np.searchsorted(-length, -(t0 + np.arange(window)), side="left")  # lanes longer than each time
-        k = int(active[0])
-        time = t0 + np.arange(window)[:, None]
+        k = int(np.searchsorted(-length, -t0, side="left"))  # lanes that are not over; they are sorted
+        time = t0 + np.arange(min(window, int(length[0]) - t0))[:, None]
         valid = time < length[:k]
         at = flat[np.where(valid, start[:k] + time, 0)]
-        states = np.empty((window, k, size), np.float32)
-        fresh, inputs = first[at] & valid, seen[at]
-        for t in range(window):
-            n = int(active[t])
-            if not n:
-                break
-            own = h[:n]
-            if fresh[t].any():
-                own[fresh[t, :n]] = 0
-            x, g = table[inputs[t, :n]], own @ net["rec"]
-            gates = _sigmoid(x[:, : 2 * size] + g[:, : 2 * size])
-            x = x[:, 2 * size:]
-            x += gates[:, :size] * g[:, 2 * size:]
-            x = np.tanh(x)
-            own -= x
-            own *= gates[:, size:]
-            own += x
-            states[t, :n] = own
-        out[at[valid]] = log_likelihood(net, states[valid], cls[at[valid]], place[at[valid]])
+        _, x = _inputs(net, seen[at])
+        states = _steps(net, x, (~first[at]).astype(np.float32), h[:, :k])[-1]
+        h = states[-1]
+        told = at[valid]
+        out[told] = log_likelihood(net, states.transpose(0, 2, 1)[valid], cls[told], place[told])
     return out
 
 
@@ -347,13 +403,13 @@ class _Slice:
         words = np.ones(len(local), dtype=bool)
         words[self.ends - 1] = False
         local[words] = stream
-        self.count, self.rank = count[local], rank[local]
+        # what depends on the word alone is reckoned once a word, then dealt to the tokens
+        self.count, self.rank, self.local = count, rank, local
         self.held_out = row["held_out"].values.to_numpy(zero_copy_only=False).astype(bool)
         self.sizes = sizes + 1
 
     def training_ids(self, v: Vocabulary) -> np.ndarray:
-        mine = np.repeat(~self.held_out, self.sizes)
-        return v.of_words(self.count[mine], self.rank[mine], less=1)
+        return v.of_words(self.count, self.rank, less=1)[self.local[np.repeat(~self.held_out, self.sizes)]]
 
 
 def _each_slice(batches, end_count: int):
@@ -458,12 +514,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     def run(batches):
         net = from_bytes(final.value, first)
         for row, s in _each_slice(batches, ends):
-            ids = v.of_words(s.count, s.rank)
-            logs = (score_documents(net, v, ids, s.ends) + v.share(s.count, s.rank)) / np.log(10)
+            logs = score_documents(net, v, v.of_words(s.count, s.rank)[s.local], s.ends)
+            logs += v.share(s.count, s.rank)[s.local]
+            logs /= np.log(10)
             of_docs = lambda x: np.add.reduceat(x, s.ends - s.sizes) if len(x) else x
             yield pa.RecordBatch.from_arrays(
-                [row["doc_id"].values, row["held_out"].values, pa.array(s.sizes), pa.array(of_docs((s.count > 0).astype(np.int64))),
-                 pa.array(np.full(len(s.sizes), total, np.int64)), pa.array(of_docs(np.log10(s.count + 1.0) - base)),
+                [row["doc_id"].values, row["held_out"].values, pa.array(s.sizes), pa.array(of_docs((s.count > 0).astype(np.int64)[s.local])),
+                 pa.array(np.full(len(s.sizes), total, np.int64)), pa.array(of_docs((np.log10(s.count + 1.0) - base)[s.local])),
                  pa.array(of_docs(logs))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -117,6 +117,52 @@ def test_one_pass_learns_every_token(monkeypatch):
         assert M._gradients is gradients and M.train(M.new_network(v, 4, 4), v, stream, None, 0.01) == n - 1
 
 
+def test_classes_are_learned_in_few_batches():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2048):
+        cls = np.minimum((rng.pareto(0.7, n) * 2).astype(np.int64), 31)
+        place = np.where(rng.random(n) < 0.8, rng.integers(0, 64, n), -1)
+        met, size, batches = [], 0, 0
+        for c, rows, used in M._padded(cls, place):
+            assert (cls[rows] == c[:, None]).all() and used[:, 0].all()
+            met += rows[used].tolist()
+            size, batches = size + rows.size, batches + 1
+        assert sorted(met) == np.flatnonzero(place >= 0).tolist()
+        assert size <= 2 * len(met) and batches <= 12
+
+
+def test_softmax_of_large_and_small_numbers():
+    x = np.array([[1e4, 0, -1e9], [-1e4, -1e4, -1e9], [0, 1, 2]], np.float32)
+    p = M._softmax(x.copy())
+    assert np.allclose(p[:2], [[1, 0, 0], [0.5, 0.5, 0]]) and np.allclose(p.sum(axis=1), 1)
+    assert np.allclose(M._log_of(x, np.array([1, 0, 2])), [-1e4, math.log(0.5), math.log(p[2, 2])], rtol=1e-5)
+    assert np.allclose(M._softmax(x[2:].copy()), p[2:]) and M._softmax(x[:0].copy()).shape == (0, 3)
+
+
+def test_training_is_adam_on_the_clipped_gradients(monkeypatch):
+    v, net = tiny()
+    start = {k: x.copy() for k, x in net.items()}
+    seen, gradients = [], M._gradients
+
+    def kept(net, *rest):
+        grads, h = gradients(net, *rest)
+        seen.append({k: g.copy() for k, g in grads.items()})
+        return grads, h
+
+    monkeypatch.setattr(M, "_gradients", kept)
+    M.train(net, v, np.random.default_rng(4).integers(0, v.ids, 400), None, 0.02, lanes=4, window=16)
+    moment = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in start.items()}
+    for i, grads in enumerate(seen):
+        norm = math.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads.values()))
+        for k, x in start.items():
+            g, m = grads[k] * min(1.0, 5.0 / norm), moment[k]
+            m[0] = 0.9 * m[0] + 0.1 * g
+            m[1] = 0.99 * m[1] + 0.01 * g * g
+            now = 0.02 * min(1.0, 2 * (1 - i / len(seen)))
+            x -= (now / (1 - 0.9 ** (i + 1)) * m[0] / (np.sqrt(m[1] / (1 - 0.99 ** (i + 1))) + 1e-8)).astype(np.float32)
+    assert len(seen) > 3 and all(np.allclose(net[k], start[k], atol=1e-4) for k in net)
+
+
 def test_mean_over_groups(spark):
     rows = [(i, float(1 + i % 4), np.full(3, i, "<f4").tobytes()) for i in range(70)] + [(99, 0.0, np.zeros(3, "<f4").tobytes())]
     got = np.frombuffer(M._mean(spark.createDataFrame(rows, "number bigint, weight double, net binary"), fan_in=4), "<f4")
