@@ -218,21 +218,23 @@ def _inputs(net: dict, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return emb, x
 
 
-def _steps(net: dict, x: np.ndarray, keep: np.ndarray, h: np.ndarray):
+def _steps(net: dict, x: np.ndarray, keep: np.ndarray, h: np.ndarray, kept: bool = True):
     """The unit's run over a window from state ``h`` (feature x lanes): what it saw and gave at each time.
 
-    ``x`` as ``_inputs`` gives it; ``keep`` (time x lanes) is 0 where a state is cleared first.
+    ``x`` as ``_inputs`` gives it; ``keep`` (time x lanes) is 0 where a state is cleared first. Unless
+    ``kept``, only the states are of every time, the rest is of the last one.
     """
     size = h.shape[0]
     rec = np.ascontiguousarray(net["rec"].T)
     rec[: 2 * size] *= -1  # a gate is 1 / (1 + exp(-x))
     minus = -x[:, : 2 * size]
-    g = np.empty_like(x)
-    gates = np.empty((len(x), 2 * size, x.shape[2]), np.float32)
-    before, cand, states = (np.empty((len(x), size, x.shape[2]), np.float32) for _ in range(3))
+    n, width = len(x) if kept else 1, x.shape[2]
+    g, gates, before, cand = (np.empty((n, w, width), np.float32) for w in (3 * size, 2 * size, size, size))
+    states = np.empty((len(x), size, width), np.float32)
     with np.errstate(over="ignore"):  # beyond the range of exp a gate is 0
         for t in range(len(x)):
-            b, a, c, s, own = before[t], gates[t], cand[t], states[t], g[t]
+            at, s = t if kept else 0, states[t]
+            b, a, c, own = before[at], gates[at], cand[at], g[at]
             np.multiply(h, keep[t], out=b)
             np.matmul(rec, b, out=own)
             np.add(minus[t], own[: 2 * size], out=a)
@@ -324,7 +326,8 @@ def score_documents(net: dict, v: Vocabulary, ids: np.ndarray, ends: np.ndarray,
     """Natural log probability of every token of ``ids``; documents end before each of ``ends``.
 
     Documents are dealt to lanes, the longest first, and follow each other
-    there; memory depends on lanes and window, not on a document's length.
+    there; ``lanes`` x ``window`` tokens are scored at a time, so memory does
+    not depend on a document's length.
     """
     out = np.zeros(len(ids))
     if not len(ids):
@@ -347,16 +350,19 @@ def score_documents(net: dict, v: Vocabulary, ids: np.ndarray, ends: np.ndarray,
     seen[first] = 0  # a document begins as after an end
     cls, place = v.split(ids)
     h = np.zeros((net["rec"].shape[0], lanes), np.float32)
-    for t0 in range(0, int(length[0]), window):
+    t0 = 0
+    while t0 < length[0]:
         k = int(np.searchsorted(-length, -t0, side="left"))  # lanes that are not over; they are sorted
-        time = t0 + np.arange(min(window, int(length[0]) - t0))[:, None]
+        # the fewer lanes a long document has beside it, the longer the window: as many tokens at a time
+        time = t0 + np.arange(min(max(window, lanes * window // k), int(length[0]) - t0))[:, None]
         valid = time < length[:k]
         at = flat[np.where(valid, start[:k] + time, 0)]
         _, x = _inputs(net, seen[at])
-        states = _steps(net, x, (~first[at]).astype(np.float32), h[:, :k])[-1]
+        states = _steps(net, x, (~first[at]).astype(np.float32), h[:, :k], kept=False)[-1]
         h = states[-1]
         told = at[valid]
         out[told] = log_likelihood(net, states.transpose(0, 2, 1)[valid], cls[told], place[told])
+        t0 += len(time)
     return out
 
 

@@ -103,6 +103,17 @@ def test_lanes_and_windows_do_not_matter():
     assert len(M.score_documents(net, v, ids[:0], ends[:0])) == 0
 
 
+def test_a_long_document_takes_long_windows(monkeypatch):
+    v, net = tiny()
+    sizes = [6000, *[20] * 400]
+    ids = np.concatenate([np.append(np.random.default_rng(n).integers(1, v.ids, n - 1), 0) for n in sizes])
+    ends, told, likelihood = np.cumsum(sizes), [], M.log_likelihood
+    monkeypatch.setattr(M, "log_likelihood", lambda net, states, *rest: told.append(len(states)) or likelihood(net, states, *rest))
+    got = M.score_documents(net, v, ids, ends, lanes=16, window=32)
+    assert sum(told) == len(ids) and max(told) <= 16 * 32 and len(told) < 60
+    assert np.allclose(got, M.score_documents(net, v, ids, ends, lanes=1, window=5), atol=1e-5)
+
+
 def test_one_pass_learns_every_token(monkeypatch):
     v = M.Vocabulary([50, *range(40, 9, -1)], {3: 9}, {2: 9}, 8)
     rng = np.random.default_rng(5)
