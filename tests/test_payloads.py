@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from crateflow.operators import flatten as FL
 from crateflow.operators import load as L
+from crateflow.plans import load_plans as LP
 from crateflow.sources import payloads as PL
-from crateflow.sources.bindings import TableSet
+from crateflow.sources.bindings import Model, TableSet
 
 _SCHEMAS = {
     "release": "id_release bigint, id_master bigint, title string, year int, country int, url_thumbnail string, url_cover string, url_release string",
@@ -83,3 +84,38 @@ def test_a_step_looks_into_the_target_once(spark, tmp_path, monkeypatch):
         assert sorted(r.id_release for r in read(spark, str(tmp_path), table).collect()) == [0, 1, 2, 3, 4, 5]
     loaded = spark.read.parquet(f"{tmp_path}/release").where("id_release >= 0").groupBy("load").count().collect()
     assert sorted(r["count"] for r in loaded) == [3, 3]
+
+
+def test_a_document_is_parsed_once_for_filters_and_columns(spark):
+    raw = spark.createDataFrame([(1, '{"id": 1, "genres": ["rock", "jazz"]}'), (2, "no json"), (3, None), (4, '{"genres": ["pop"]}')],
+                                "id bigint, raw string")
+    parses = lambda df: df._jdf.queryExecution().executedPlan().toString().count("from_json")
+    parsed = FL.parse(raw, FL.RELEASE_SCHEMA)
+    genres = FL.flatten_genres(parsed)
+    assert parses(genres) == 1 and sorted(map(tuple, genres.collect())) == [(1, "jazz"), (1, "rock")]
+    bad = FL.quarantine(parsed)
+    assert parses(bad) == 1 and sorted(r.payload_id for r in bad.collect()) == [2, 3, 4]
+    pages = spark.createDataFrame([(1, 1, '[{"id": 5}, {"id": 6}]'), (1, 2, "{"), (2, 1, None)], "id_artist bigint, page bigint, raw string")
+    masters = FL.flatten_artist_masters(pages)
+    assert parses(masters) == 1 and sorted(r.id_master for r in masters.collect()) == [5, 6]
+    assert sorted((r.id_artist, r.page) for r in FL.quarantine_pages(pages).collect()) == [(1, 2), (2, 1)]
+
+
+def test_stats_of_a_release_need_one_shuffle(spark, tmp_path):
+    cols = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double"
+    spark.createDataFrame([(1, 7, 3, 1, 2.0, 9.5, 0.1), (1, 7, 4, 2, 3.0, 8.5, 0.1), (1, None, 4, 3, 1.0, 7.5, 0.1), (2, 5, 5, 1, 1.0, 4.0, 0.2),
+                           (None, None, None, 1, None, None, None)], cols).write.parquet(f"{tmp_path}/lineitem.parquet")
+    stats = Model(spark, str(tmp_path), materialize=False).t("release_stats")
+    assert stats._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert dict(stats.dtypes)["qty_want"] == dict(stats.dtypes)["qty_ratings"] == "bigint"
+    assert sorted(((tuple(r)) for r in stats.collect()), key=str) == [
+        (1, 3, 7.5, 6, 1, 5.0, 2), (2, 1, None, 1, 1, 10.0, 1), (None, 1, None, None, 0, None, 0)]
+
+
+def test_landed_files_hold_a_bounded_number_of_documents(spark, tmp_path, monkeypatch):
+    documents = spark.range(0, 1000, 1, 40).select("id", F.lit("{}").alias("raw"))
+    monkeypatch.setattr(LP, "LANDED_ROWS", 100)
+    for name, df, files in (("few", documents, 10), ("least", documents.limit(50).repartition(20), 8)):
+        LP._land(df, f"{tmp_path}/{name}")
+        back = spark.read.parquet(f"{tmp_path}/{name}")
+        assert len(back.inputFiles()) == files and back.count() == df.count()
