@@ -119,3 +119,18 @@ def test_landed_files_hold_a_bounded_number_of_documents(spark, tmp_path, monkey
         LP._land(df, f"{tmp_path}/{name}")
         back = spark.read.parquet(f"{tmp_path}/{name}")
         assert len(back.inputFiles()) == files and back.count() == df.count()
+
+
+def test_a_step_parses_its_documents_once(spark, tmp_path, monkeypatch):
+    raw = spark.createDataFrame([(1, '{"id": 1, "title": "a", "genres": ["rock"]}'), (1, '{"id": 1, "title": "b", "genres": ["jazz"]}'),
+                                 (2, '{"id": 2, "title": "c"}'), (3, "no json"), (1, '{"id": "x"}'), (5, None)], "id bigint, raw string")
+    want = {(r.doc.id, r.doc.title) for r in FL.one_per_id(FL.parse(raw, FL.RELEASE_SCHEMA)).collect()}
+    plans, cut = [], L.cut_lineage
+    monkeypatch.setattr(L, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    L.load_batch(raw, str(tmp_path))
+    assert sum(p.count("from_json") for p in plans) == 1
+    read = lambda table: L.read_loaded(spark, str(tmp_path), table)
+    assert {(r.id_release, r.title) for r in read("release").collect()} == want and len(want) == 2
+    assert read("release_genres").count() == 1
+    assert sorted((r.payload_id, r.n_chars) for r in read("_quarantine_release").collect() if r.n_chars) == [(1, 11), (3, 7)]
+    assert read("_quarantine_release").count() == 3
