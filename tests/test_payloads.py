@@ -99,6 +99,8 @@ def test_a_document_is_parsed_once_for_filters_and_columns(spark):
     masters = FL.flatten_artist_masters(pages)
     assert parses(masters) == 1 and sorted(r.id_master for r in masters.collect()) == [5, 6]
     assert sorted((r.id_artist, r.page) for r in FL.quarantine_pages(pages).collect()) == [(1, 2), (2, 1)]
+    new = L.incremental_load(pages, spark.createDataFrame([], "id_artist bigint, page bigint"), "artist_page")  # parsed before it is flattened
+    assert sorted(r.id_master for r in new["artist_masters"].collect()) == [5, 6]
 
 
 def test_stats_of_a_release_need_one_shuffle(spark, tmp_path):
